@@ -24,7 +24,7 @@ from graphloom.llm.common import in_batches, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"
 #: Distinct space-led chunks whose ids a worker keeps at a time.
-CHUNKS_KEPT = 1 << 20
+CHUNKS_KEPT = 1 << 19
 #: Texts whose chunks are looked up together.
 TEXTS_AT_A_TIME = 256
 _ODD_SPACE = re.compile(r"\A | \Z|\s | \s")
@@ -76,10 +76,21 @@ class ChunkEncoder:
             known.update((p, raw[a:b]) for p, a, b in zip(unknown, (4 * cuts).tolist(), ends, strict=True))
         out = [self._whole_ids(t).tobytes() if parts is None else self._ids(parts[0]).tobytes() + b"".join(map(known.__getitem__, parts[1:])) for t, parts in zip(texts, split, strict=True)]
         if len(known) > CHUNKS_KEPT:
-            known.clear()
+            for p in unknown:
+                del known[p]
         return out
 
 
+_encoders: dict[tuple, ChunkEncoder] = {}
+
+
+def _encoder(tokenizer: str, ranks: str | None) -> ChunkEncoder:
+    """The worker's own encoder, kept from task to task."""
+    if (tokenizer, ranks) not in _encoders:
+        _encoders[tokenizer, ranks] = ChunkEncoder(tokenizer, ranks)
+    return _encoders[tokenizer, ranks]
+
+
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, ranks: str | None = None) -> DataFrame:
     """Pieces of all documents: full windows and a remainder each; the last id of a document is end_id.
 
@@ -88,7 +99,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """
 
     def run(batches):
-        encode, end = ChunkEncoder(tokenizer, ranks), np.array([end_id], "<u4").tobytes()
+        encode, end = _encoder(tokenizer, ranks), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for pdf in batches:
             rows = []
