@@ -129,7 +129,8 @@ def extract_keywords(text: Column, profile: str = "search") -> Column:
 
 def parse_model_output(text: Column) -> Column:
     """JSON text: the text itself, else its first fenced block that parses, else the outermost brackets without trailing commas."""
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.trim(c).rlike(r"^[\[{]"), F.trim(c))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & bare(c).rlike(r"^[\[{]"), bare(c))
     fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)```"), F.lit(1))
     block = F.element_at(F.filter(F.transform(fenced, lambda b: valid(b)), lambda b: b.isNotNull()), 1)
     block = F.when(F.exists(fenced, lambda b: valid(b).isNotNull()), block)

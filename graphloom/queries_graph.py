@@ -210,3 +210,22 @@ def _(spark, sf):
     n, e = _g(spark, sf)
     seeds = n.where("layer in ('config', 'infrastructure', 'database')").select(F.col("id").alias("seed"))
     return it.critical_paths(seeds, n, e).select("seed", F.array_join("path", ">").alias("path"))
+
+
+_TASKS = "SELECT p_partkey AS query_id, p_name || ' order 12' AS text FROM part WHERE p_partkey % 50 = 1"
+
+
+def _tasks(spark, sf):
+    from graphloom.fixtures import table
+
+    return table(spark, sf, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" order 12")).alias("text"))
+
+
+@query("g9_plan_from_tasks")
+def _(spark, sf):
+    return blast.plan_from_tasks(_tasks(spark, sf), *_g(spark, sf))
+
+
+@query("j12_graph_context")
+def _(spark, sf):
+    return blast.graph_context(_tasks(spark, sf), *_g(spark, sf))

@@ -95,7 +95,7 @@ def parse_manifests(files: DataFrame) -> DataFrame:
     kinds = {"dependencies": "runtime", "devDependencies": "dev", "peerDependencies": "peer"}
     p = files.where(F.col("path").endswith("package.json")).select("path", F.from_json("content", ", ".join(f"{k} map<string,string>" for k in kinds)).alias("j"))
     out = [p.select("path", F.explode(f"j.{k}").alias("name", "version"), F.lit(v).alias("scope")) for k, v in kinds.items()]
-    line = F.trim(F.col("line"))
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
     r = files.where(F.col("path").rlike(r"requirements[^/]*\.txt\z")).select("path", F.explode(F.split("content", "\n")).alias("line")).where(line.rlike(r"^[a-zA-Z0-9_-]+([>=<~!]+.+)?\z"))
     version = F.trim(F.regexp_extract(line, r"^[a-zA-Z0-9_-]+([>=<~!]+.+)?", 1))
     out.append(r.select("path", F.regexp_extract(line, r"^([a-zA-Z0-9_-]+)", 1).alias("name"), F.when(version == "", "*").otherwise(version).alias("version"), F.lit("runtime").alias("scope")))
