@@ -91,14 +91,15 @@ def budgets(slim: DataFrame, mix: Mix) -> DataFrame:
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = written(leaves.withColumn("capacity", (F.col("tokens") * mix.max_epochs).cast("double")))
     weights = {"domain": mix.domain_weights, "lang": mix.lang_weights, "source": mix.source_weights}
-    above = leaves.agg((F.sum("tokens") * mix.share).alias("total"))
+    whole = leaves.agg(F.sum("tokens")).first()[0]
+    above = None
     for depth, name in enumerate(LEVELS):
         parent = list(LEVELS[:depth])
         nodes = leaves.groupBy(*parent, name).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col(name), weights[name]))
         if parent:
             nodes = nodes.join(above, parent)
         else:
-            nodes = nodes.join(F.broadcast(above), F.lit(True))  # above is one row
+            nodes = nodes.withColumn("total", F.lit((whole or 0) * mix.share))
         above = divided(nodes, parent or [F.lit(1)], name).select(*parent, name, F.col("budget").alias("total"))
     return leaves.join(above, list(LEVELS)).select(*LEVELS, "tokens", "rows", F.col("total").alias("budget"))
 

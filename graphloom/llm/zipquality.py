@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,13 +164,13 @@ def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, lea
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least `least`."""
-    names = docs.columns
+    """The rows of docs, all columns as they are, whose text scores at least `least`."""
+    at = docs.columns.index("text")
 
     def run(batches):
-        for pdf in batches:
-            x = (measured(as_bytes(pdf["text"]), model.good, model.bad, model.settings) - model.mean) / model.scale
+        for batch in batches:
+            x = (measured(as_bytes(batch.column(at).to_pylist()), model.good, model.bad, model.settings) - model.mean) / model.scale
             p = 1 / (1 + np.exp(-np.clip(_terms(x) @ model.weights, -30, 30)))
-            yield pdf[p >= least]
+            yield batch.filter(pa.array(p >= least))
 
-    return docs.mapInPandas(run, docs.schema).select(*names)
+    return docs.mapInArrow(run, docs.schema)
