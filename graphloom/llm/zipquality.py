@@ -86,15 +86,20 @@ def _terms(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, x[:, 0] * np.abs(x[:, 0]), x[:, 0] * x[:, 2], x[:, 3] ** 2, x[:, 3] * x[:, 2], x[:, 3] * x[:, 0]])
 
 
-def fitted_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted logistic regression by Newton's method: weights, and the features' mean and scale."""
+def fitted_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted logistic regression by Newton's method: weights, and the features' mean and scale.
+
+    The ridge spares the constant: from few labels, scores stay near the share of good ones.
+    """
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     t = _terms((x - mean) / scale)
     w = np.zeros(t.shape[1])
+    held = np.full(len(w), ridge)
+    held[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-        gradient = t.T @ (weight * (y - p)) - ridge * w
-        hessian = (t * (weight * p * (1 - p))[:, None]).T @ t + ridge * np.eye(len(w))
+        gradient = t.T @ (weight * (y - p)) - held * w
+        hessian = (t * (weight * p * (1 - p))[:, None]).T @ t + np.diag(held)
         move = np.linalg.solve(hessian, gradient)
         w = w + move
         if np.abs(move).max() < 1e-9:
