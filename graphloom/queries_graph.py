@@ -228,4 +228,5 @@ def _(spark, sf):
 
 @query("j12_graph_context")
 def _(spark, sf):
-    return blast.graph_context(_tasks(spark, sf), *_g(spark, sf))
+    found = blast.graph_context(_tasks(spark, sf), *_g(spark, sf))
+    return found.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("files", "key_nodes", "warnings")))
