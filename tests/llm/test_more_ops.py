@@ -234,6 +234,64 @@ def test_line_fingerprints(spark):
     assert got == {x: slow_fp(x.split(" ")) for x in lines}
 
 
+def damaged_lines():
+    """(line, damaged copy) by kind of damage, of lines of 5 to 150 words; all are at least 0.8 similar."""
+    rnd = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(rnd.choice(letters, n))
+    vocabulary = [word(n) for n in rnd.integers(2, 12, 4000)]
+
+    def letter(w):
+        w, i = list(w), int(rnd.choice([i for i, x in enumerate(w) if len(x) >= 4] or [0]))
+        at = int(rnd.integers(len(w[i])))
+        w[i] = w[i][:at] + ("z" if w[i][at] == "a" else "a") + w[i][at + 1 :]
+        return " ".join(w)
+
+    def tenth(w):
+        w = list(w)
+        for i in rnd.choice(len(w), max(1, len(w) // 10), replace=False):
+            w[i] = word(len(w[i]))
+        return " ".join(w)
+
+    def scattered(w):
+        x = list(" ".join(w))
+        at = [i for i, c in enumerate(x) if c != " "]
+        for i in rnd.choice(at, max(1, len(at) // 20), replace=False):
+            x[i] = word(1)
+        return "".join(x)
+
+    out = []
+    for kind in (letter, tenth, scattered):
+        for low, high in ((5, 9), (10, 19), (20, 49), (50, 99), (100, 150)):
+            for _ in range(60):
+                w = [str(x) for x in rnd.choice(vocabulary, rnd.integers(low, high + 1))]
+                out.append((kind.__name__, low, " ".join(w), kind(w)))
+    # lengths are equal, so letters that differ bound the edit distance
+    return [x for x in out if 0 < sum(a != b for a, b in zip(x[2], x[3], strict=True)) <= math.floor(len(x[2]) * 0.2 + 1e-9)]
+
+
+def test_lines_recall_against_plain_edit_similarity(spark):
+    cases = damaged_lines()
+    rows = [(i, f"{a}\n{b}", "en", "s", 1) for i, (_, _, a, b) in enumerate(cases)]
+    got = {r["doc_id"]: r["n_removed"] for r in fuzzylines.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got.values()) <= {0, 1}
+    found, of = Counter(), Counter()
+    for i, (kind, low, _, _) in enumerate(cases):
+        found[kind, low] += got[i]
+        of[kind, low] += 1
+    recall = {k: found[k] / of[k] for k in of}
+    print(recall)
+    assert all(of.values()) and len(of) == 15
+    for (kind, _), share in recall.items():
+        assert share >= {"letter": 0.98, "tenth": 0.95, "scattered": 0.7}[kind], recall
+
+
+def test_short_lines_are_deduplicated_exactly(spark):
+    rows = [(1, "Read more\n\nPage 12\nhome", "en", "s", 1), (2, "read more!\n\nPage 13\n---\nHome", "en", "s", 1), (3, "one two three four\nx", "en", "s", 1), (4, "One two three four.\n\n---", "en", "s", 1)]
+    got = {r["doc_id"]: r["text"] for r in fuzzylines.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: "Read more\n\nPage 12\nhome", 2: "\nPage 13\n---", 3: "one two three four\nx", 4: "\n---"}
+
+
 def test_lines_empty(spark):
     assert fuzzylines.deduplicated(no_docs(spark)).count() == 0
 
