@@ -88,8 +88,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFra
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below: int = 1000) -> DataFrame:
-    """(query_id, id, score, rank): reciprocal ranks, 1 / (60 + rank), over 2k vector and k keyword hits."""
-    both = vector_search(queries, chunks, 2 * k, exact_below).unionByName(keyword_search(queries, chunks, k))
+    """(query_id, id, score, rank): reciprocal ranks, 1 / (60 + rank), over 2k vector and 2k keyword hits."""
+    both = vector_search(queries, chunks, 2 * k, exact_below).unionByName(keyword_search(queries, chunks, 2 * k))
     s = both.groupBy("query_id", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from graphloom.functions import text as x
 from graphloom.operators import graph as g
 from graphloom.operators import iterate as it
 from graphloom.operators import mining as mi
+from graphloom.operators import retrieval as r
 from graphloom.operators import telemetry as t
 from graphloom.plans import blast
 from graphloom.sources import readers as s
@@ -161,3 +162,10 @@ def test_graph_basics(spark):
     assert rows(g.degrees(n, g.intact_edges(n, e)), "id", "degree") == [("a", 1), ("b", 1), ("c", 0)]
     assert rows(g.dangling_edges(n, e)) == [("a", "q", "x", "dst")]
     assert rows(g.orphans(n, e), "id") == [("c",)]
+
+
+def test_hybrid_search_takes_2k_keyword_hits(spark):
+    c = spark.createDataFrame([(i, f"alpha {i}", [1.0, 0.0] if i == 8 else [1.0, 1.0] if i == 7 else [-1.0, 0.0]) for i in range(1, 9)], "id long, content string, embedding array<double>")
+    q = spark.createDataFrame([(0, "alpha", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    got = {row["rank"]: (row["id"], row["score"]) for row in r.hybrid_search(q, c, 5).collect()}
+    assert got == {1: (8, round(1 / 61 + 1 / 68, 9)), 2: (7, round(1 / 62 + 1 / 67, 9)), 3: (1, round(1 / 61, 9)), 4: (2, round(1 / 62, 9)), 5: (3, round(1 / 63, 9))}
