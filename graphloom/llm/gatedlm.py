@@ -6,8 +6,8 @@ factored: first a softmax over all classes, then, in a class of own words, a sof
 a word has its smoothed share of the class's count in the corpus, so every word, seen or not, has a probability.
 
 Documents run through the network in lanes, side by side; the state is carried across windows to a document's end.
-Training truncates backpropagation to a window. Shards of a hash sample train apart and their weights are averaged
-after each round; the sample grows with the corpus.
+Training truncates backpropagation to a window. Every training document belongs to one round and one shard; shards
+train apart and their weights are averaged after each round.
 
 Counts of the words that are frequent (a bounded table) go with the tasks; those of all others are joined.
 """
@@ -42,8 +42,6 @@ class Settings:
     train_window: int = 32
     rounds: int = 3
     rate: float = 0.08
-    share: float = 1 / 24  # of the training documents that train the network
-    least_tokens: int = 1_500_000  # the share is raised where it would hold fewer
     shard_tokens: int = 200_000  # of a round
     frequent: int = 1 << 18  # words whose counts go with the tasks
     seed: int = 3
@@ -301,15 +299,13 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
 
 
 def network(docs: DataFrame, c: Corpus, s: Settings) -> dict:
-    """Trained weights. docs(doc_id, text) are the training part; the sample is drawn by a hash of the id."""
+    """Trained weights. docs(doc_id, text) are the training part; a hash of the id deals all of them over the rounds."""
     spark = docs.sparkSession
     w = fresh(c, s)
-    share = min(1.0, max(s.share, s.least_tokens / max(c.tokens, 1)))
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_000)) / 1_000_000
-    shards = max(1, round(c.tokens * share / s.rounds / s.shard_tokens))
-    sample = docs.withColumn("d", draw).where(F.col("d") < share)
-    sample = sample.select("text", F.floor(F.col("d") / share * s.rounds).cast("int").alias("round"), F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id", "text"), F.lit(shards)).alias("shard"))
-    sample = written(sample.repartition(shards, "shard"))
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.coalesce("doc_id", F.lit(-1))), F.lit(s.rounds)).cast("int")
+    shards = max(1, round(c.tokens / s.rounds / s.shard_tokens))
+    dealt = docs.select("text", draw.alias("round"), F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id", "text"), F.lit(shards)).alias("shard"))
+    dealt = written(dealt.repartition(shards, "shard"))
     for k in range(s.rounds):
         now = spark.sparkContext.broadcast((w, c))
 
@@ -325,7 +321,7 @@ def network(docs: DataFrame, c: Corpus, s: Settings) -> dict:
             if done:
                 yield pd.DataFrame({"weights": [_flat(at).astype(np.float64)], "n": [done]})
 
-        got = in_batches(sample.where(F.col("round") == k).select("text"), run, "weights array<double>, n long")
+        got = in_batches(dealt.where(F.col("round") == k).select("text"), run, "weights array<double>, n long")
         mean = got.select("n", F.posexplode("weights").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
         if len(mean):
             w = _shaped(mean.sort_values("i")["v"].to_numpy(), w)

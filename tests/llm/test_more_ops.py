@@ -427,6 +427,19 @@ def test_language_model(spark, sf):
     assert all(r["score"] < 0 for r in rows)
 
 
+def test_network_learns_from_every_document_of_a_large_corpus(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    s = gatedlm.Settings(rounds=2, shard_tokens=100_000_000)
+    c = gatedlm.gathered(gatedlm.counted(docs), s)
+    c.tokens = 100_000_000  # as if the corpus were large
+    learned, plain = [], gatedlm.written
+    monkeypatch.setattr(gatedlm, "written", lambda df: learned.append(plain(df)) or learned[-1])
+    gatedlm.network(docs, c, s)
+    assert len(learned) == 1
+    assert Counter(r["text"] for r in learned[0].collect()) == Counter(r["text"] for r in docs.collect())
+    assert {r["round"] for r in learned[0].collect()} == {0, 1}
+
+
 def test_network_is_a_distribution_and_gradients_hold():
     s = gatedlm.Settings(own_classes=3, class_words=2, hidden=4, lanes=3, window=5, train_lanes=2, train_window=4)
     c = gatedlm.Corpus(np.array([], np.int64), np.array([], np.int64), np.array([1]), np.array([0]), np.array([5, 4, 3, 2, 1, 1]), 30, 9, np.ones(64, np.int64), np.ones(64, np.int64))
