@@ -7,7 +7,8 @@ smallest one-bit member: every member is within 3 bits of that one, so no pair n
 lost. At most 1057 fingerprints can meet at a point, so groups stay bounded however many documents share a text.
 
 Fingerprints with no possible partner are left out before that: a partner has one half equal or one bit apart, which
-66 keys for each fingerprint tell.
+66 keys for each fingerprint tell. The one-bit points come first, which link all within two bits; the two-bit points are
+then emitted only where those keys still lead to another group, so a large group of near copies costs few rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, in_batches, written
+from graphloom.llm.common import components, in_arrow, written
 
 _SEED = 42
 
@@ -46,14 +46,16 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of whole texts; fp is the fingerprint as a signed long. A null text has no words: fp 0."""
+    """(doc_id, hash, fp) of whole texts; hash is the text's XXH64, fp the fingerprint as a signed long. A null text has
+    no words: fp 0."""
 
     def run(batches):
-        for pdf in batches:
-            fp = [simhash(t.encode("utf-8", "surrogatepass"), shingle) if isinstance(t, str) else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fp, "<u8").view("<i8")})
+        for batch in batches:
+            fp = [simhash(t.encode("utf-8", "surrogatepass"), shingle) if t is not None else 0 for t in batch.column(2).to_pylist()]
+            yield {"doc_id": batch.column(0), "hash": batch.column(1), "fp": np.array(fp, "<u8").view("<i8")}
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return in_arrow(given, run, "doc_id long, hash long, fp long")
 
 
 def _half_keys(flips: bool):
@@ -66,47 +68,71 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _open(fps: DataFrame) -> DataFrame:
+    """The distinct fingerprints of fps(fp, group) that share a half, or one within a bit, with one of another group."""
+    own = fps.select("group", F.explode(_half_keys(False)).alias("key"))
+    own = own.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    tried = fps.select("fp", "group", F.explode(_half_keys(True)).alias("key"))
+    return tried.join(own, "key").where("low <> `group` or high <> `group`").select("fp").distinct()
+
+
+def _edges(fps: DataFrame, masks: list[int], near: int) -> DataFrame:
+    """(u, v) of fps(fp): what meets at a point, linked to the smallest that is there by one of the first `near` masks."""
+    met = fps.select("fp", F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("i", "mask"))
+    met = met.select("fp", (F.col("i") < near).alias("close"), F.col("fp").bitwiseXOR(F.col("mask")).alias("at"))
+    low = F.min(F.when(F.col("close"), F.col("fp"))).over(Window.partitionBy("at"))
+    return met.withColumn("low", low).where("low is not null and low <> fp").select(F.col("fp").alias("u"), F.col("low").alias("v"))
+
+
 def linked(fps: DataFrame) -> DataFrame:
     """(id, component) for the distinct fingerprints fps(fp) that have another one within 3 bits.
 
     component is the smallest fingerprint (as a signed long) reachable over links of at most 3 bits.
     """
-    own = fps.select(F.explode(_half_keys(False)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    tried = fps.select("fp", F.posexplode(_half_keys(True)).alias("i", "key"))
-    likely = written(tried.join(own, "key").where("i > 1 or n > 1").select("fp").distinct())
+    likely = written(_open(fps.select("fp", F.col("fp").alias("group"))))
     near = [0, *(1 << i for i in range(64))]
     far = [(1 << i | 1 << j) << h for h in (0, 32) for i, j in combinations(range(32), 2)]
-    masks = F.array(*(F.lit(_signed(m)) for m in near + far))
-    met = likely.select("fp", F.posexplode(masks).alias("i", "mask")).select(
-        "fp", (F.col("i") < len(near)).alias("close"), F.col("fp").bitwiseXOR(F.col("mask")).alias("at")
-    )
-    low = F.min(F.when(F.col("close"), F.col("fp"))).over(Window.partitionBy("at"))
-    edges = met.withColumn("low", low).where("low is not null and low <> fp").select(F.col("fp").alias("u"), F.col("low").alias("v"))
-    return components(edges)
+    close = written(_edges(likely, near, len(near)).distinct())
+    groups = components(close)
+    grouped = written(likely.join(groups, likely["fp"] == groups["id"], "left").select("fp", F.coalesce("component", "fp").alias("group")))
+    apart = written(_open(grouped))
+    return components(close.unionByName(_edges(apart, near + far, len(near))))
+
+
+def _named(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hash, fp, group): group is the smallest fingerprint of the class; written."""
+    fps = written(fingerprints(docs, shingle))
+    links = linked(fps.select("fp").distinct())
+    return written(fps.join(links, fps["fp"] == links["id"], "left").select("doc_id", "hash", "fp", F.coalesce("component", "fp").alias("group")))
 
 
 def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links of at most 3 bits.
 
     Texts without words have fingerprint zero and are linked like any other. Repeated rows and ids are kept. A null
-    doc_id never names a class that has another id. An empty table gives an empty table.
+    doc_id never names a class that has another id. A text may be of any length. An empty table gives an empty table.
     """
-    fps = written(fingerprints(docs, shingle))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    links = linked(distinct.select("fp"))
-    named = distinct.join(links, distinct["fp"] == links["id"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(ids, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = _named(docs, shingle)
+    ids = written(named.groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    return named.join(ids, "group").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class; rows with a null doc_id stay.
+    """Of every class of similar texts one row of docs: that with the smallest doc_id, then text hash.
 
-    Of several rows with one doc_id one stays (the one whose text has the smallest hash).
+    Rows are told apart by doc_id and text, so different texts under one doc_id are judged one by one; of rows that share
+    both one stays, whatever their other columns. Rows with a null doc_id stay and take no other's place. Null, empty and
+    very long texts count as in classes(). An empty table gives an empty table.
     """
-    drop = classes(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti")
-    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    numbered = left.where("doc_id is not null").withColumn("__row", F.row_number().over(at)).where("__row = 1").drop("__row")
-    return numbered.unionByName(left.where("doc_id is null")).select(*docs.columns)
+    rows = _named(docs, shingle).where("doc_id is not null").groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n"))
+    rows = written(rows)
+    keep = written(rows.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("keep")))
+    at = rows.join(keep, "group").select("doc_id", "hash", "n", (F.struct("doc_id", "hash") == F.col("keep")).alias("kept"))
+    at = at.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", "kept")
+    names, own = docs.columns, [F.col("doc_id") == F.col("__id"), F.col("__h") == F.col("__hash")]
+    left = docs.withColumn("__h", F.xxhash64("text")).join(at.where("not kept"), own, "left_anti")
+    again = written(at.where("kept and n > 1").select("__id", "__hash"))
+    if not again.isEmpty():
+        once = left.join(again, own, "left_semi").dropDuplicates(["doc_id", "__h"])
+        left = left.join(again, own, "left_anti").unionByName(once)
+    return left.select(*names)

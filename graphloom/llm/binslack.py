@@ -15,12 +15,12 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_batches, written
+from graphloom.llm.common import in_arrow, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"
 #: Distinct space-led chunks whose ids a worker keeps at a time.
@@ -101,23 +101,23 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     def run(batches):
         encode, end = _encoder(tokenizer, ranks), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for pdf in batches:
-            rows = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+        for batch in batches:
+            rows, owner = [], []
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             encoded = (ids for i in range(0, len(texts), TEXTS_AT_A_TIME) for ids in encode(texts[i : i + TEXTS_AT_A_TIME]))
-            for doc_id, ids in zip(pdf["doc_id"], encoded, strict=True):
+            for at, ids in enumerate(encoded):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
                     length = len(piece) // 4
-                    rows.append((doc_id, start, length, zlib.crc32(piece), n, part, seen[length]) + ((np.frombuffer(piece, "<u4").astype(np.int32),) if with_ids else ()))
+                    rows.append((start, length, zlib.crc32(piece), n, part, int(seen[length])) + ((np.frombuffer(piece, "<u4").astype(np.int32),) if with_ids else ()))
+                    owner.append(at)
                     seen[length] += 1
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            names = [c.split()[0] for c in PIECES.split(", ")][1:] + ["ids"] * with_ids
+            yield {"doc_id": batch.column(0).take(pa.array(owner, pa.int64())), **dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))}
 
-    return in_batches(docs.select("doc_id", "text"), run, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES + ", ids array<int>" * with_ids)
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -187,21 +187,24 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     table = {n: np.array(rows, np.int64).T for n, rows in segments.items()}
 
     def place(batches):
-        for pdf in batches:
-            rank = (pdf["rank"] + pdf["base"]).to_numpy()
-            out = np.zeros((2, len(pdf)), np.int64)
-            for n, rows in pdf.groupby("length").indices.items():
+        for batch in batches:
+            length, rank, base = (batch.column(n).to_numpy() for n in ("length", "rank", "base"))
+            out = np.zeros((2, len(length)), np.int64)
+            order = np.argsort(length, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                n = int(length[rows[0]])
                 begin, each, seq, offset = table[n]
-                at = np.searchsorted(begin, rank[rows], side="right") - 1
-                past = rank[rows] - begin[at]
+                own = rank[rows] + base[rows]
+                at = np.searchsorted(begin, own, side="right") - 1
+                past = own - begin[at]
                 out[0, rows] = seq[at] + past // each[at]
                 out[1, rows] = offset[at] + past % each[at] * n
-            pdf["sequence_id"], pdf["offset"] = out
-            yield pdf.drop(columns=["base", "part", "rank"])
+            yield {n: batch.column(n) for n in names} | {"sequence_id": out[0], "offset": out[1]}
 
     joined = pieces.join(bases, ["length", "part"]).select(*pieces.columns, "base")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("part", "rank")]
-    return in_batches(joined, place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    kept = [f"{n} {kind}" for n, kind in pieces.dtypes if n not in ("part", "rank")]
+    names = [k.split()[0] for k in kept]
+    return in_arrow(joined, place, ", ".join([*kept, "sequence_id long", "offset long"]).replace("bigint", "long"))
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, ranks: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ factored: first a softmax over all classes, then, in a class of own words, a sof
 a word has its smoothed share of the class's count in the corpus, so every word, seen or not, has a probability.
 
 Documents run through the network in lanes, side by side; the state is carried across windows to a document's end.
-Training truncates backpropagation to a window. Every training document belongs to one round and one shard; shards
-train apart and their weights are averaged after each round.
+Training truncates backpropagation to a window. Every training document belongs, by hashes, to one round and one shard
+of about shard_tokens words; shards train apart, each over its documents in order of id, and their weights are averaged
+after each round, so the model doesn't depend on how many tasks there are.
 
 Counts of the words that are frequent (a bounded table) go with the tasks; those of all others are joined.
 """
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, in_batches, written
+from graphloom.llm.common import fold_of, in_arrow, in_batches, written
 from graphloom.llm.wordhash import as_bytes, portions, words_of
 
 TAIL = 64
@@ -107,7 +108,10 @@ def gathered(words: DataFrame, s: Settings) -> Corpus:
     # the lowest count at which no more than `frequent` words remain: from how many words have each count
     sizes = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(s.frequent + 1).toPandas()
     fits = sizes["n"].to_numpy()[np.cumsum(sizes["words"].to_numpy()) <= s.frequent]
-    often = words.where(F.col("n") >= int(fits.min())).select("h", "n").toPandas().sort_values("h") if len(fits) else pd.DataFrame({"h": [], "n": []}, dtype=np.int64)
+    often = pd.DataFrame({"h": own_numbers, "n": own_counts}).iloc[0 if end else 1 :]  # own words are always at hand
+    if len(fits):
+        often = pd.concat([often, words.where(F.col("n") >= int(fits.min())).select("h", "n").toPandas()]).drop_duplicates("h")
+    often = often.sort_values("h")
     tail_tokens, tail_kinds = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
     for r in words.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         tail_tokens[r["kind"]], tail_kinds[r["kind"]] = r["n"], r["k"]
@@ -298,31 +302,46 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
+def dealt(docs: DataFrame, tokens: int, s: Settings) -> DataFrame:
+    """round, shard, id (as text: beside nulls pandas holds whole numbers as doubles), h (text hash) and text of all docs."""
+    shards = max(1, round(tokens / s.rounds / s.shard_tokens))
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.coalesce("doc_id", F.lit(-1))), F.lit(s.rounds)).cast("int").alias("round")
+    shard = F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id", "text"), F.lit(shards)).alias("shard")
+    return docs.select(draw, shard, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"), "text")
+
+
+def _shard_trainer(now):
+    def run(pdf):
+        w, corpus, s = now.value
+        raw = as_bytes(pdf.sort_values(["id", "h"])["text"])
+        done = 0
+        for a, b in portions(raw):
+            numbers, kinds, owner = tokens_of(raw[a:b])
+            w = trained(w, symbols(numbers, kinds, corpus, s), owner, b - a, s)
+            done += len(numbers)
+        return pd.DataFrame({"weights": [_flat(w).astype(np.float64)], "n": [done]})
+
+    return run
+
+
+def _summed(batches):
+    """The shards' weights times their tokens, one row a task."""
+    total, n = 0.0, 0
+    for pdf in batches:
+        for flat, k in zip(pdf["weights"], pdf["n"], strict=True):
+            total, n = total + np.asarray(flat) * k, n + k
+    if n:
+        yield pd.DataFrame({"weights": [total], "n": [n]})
+
+
 def network(docs: DataFrame, c: Corpus, s: Settings) -> dict:
-    """Trained weights. docs(doc_id, text) are the training part; a hash of the id deals all of them over the rounds."""
-    spark = docs.sparkSession
-    w = fresh(c, s)
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), F.coalesce("doc_id", F.lit(-1))), F.lit(s.rounds)).cast("int")
-    shards = max(1, round(c.tokens / s.rounds / s.shard_tokens))
-    dealt = docs.select("text", draw.alias("round"), F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id", "text"), F.lit(shards)).alias("shard"))
-    dealt = written(dealt.repartition(shards, "shard"))
+    """Trained weights. docs(doc_id, text) are the training part; hashes of id and text deal all of them out."""
+    spark, w, kind = docs.sparkSession, fresh(c, s), "weights array<double>, n long"
     for k in range(s.rounds):
-        now = spark.sparkContext.broadcast((w, c))
-
-        def run(batches, now=now):
-            at, corpus = now.value
-            done = 0
-            for pdf in batches:
-                raw = as_bytes(pdf["text"])
-                for a, b in portions(raw):
-                    numbers, kinds, owner = tokens_of(raw[a:b])
-                    at = trained(at, symbols(numbers, kinds, corpus, s), owner, b - a, s)
-                    done += len(numbers)
-            if done:
-                yield pd.DataFrame({"weights": [_flat(at).astype(np.float64)], "n": [done]})
-
-        got = in_batches(dealt.where(F.col("round") == k).select("text"), run, "weights array<double>, n long")
-        mean = got.select("n", F.posexplode("weights").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
+        now = spark.sparkContext.broadcast((w, c, s))
+        shards = dealt(docs, c.tokens, s).where(F.col("round") == k).groupBy("shard")
+        got = in_batches(shards.applyInPandas(_shard_trainer(now), kind), _summed, kind)
+        mean = got.select("n", F.posexplode("weights").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(mean):
             w = _shaped(mean.sort_values("i")["v"].to_numpy(), w)
     return w
@@ -337,7 +356,7 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2, s: Settings = Set
     """
     spark = docs.sparkSession
     out = (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out")
-    given = docs.select("doc_id", "text", out)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", out)
     train = given.where("not held_out").select("doc_id", "text")
     words = counted(train)
     c = gathered(words, s)
@@ -349,8 +368,8 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2, s: Settings = Set
         w, c = model.value
         share = np.log10(c.tail_tokens + c.tail_kinds + 1)
         row = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            raw = as_bytes(pdf["text"])
+        for batch in batches:
+            raw = as_bytes(batch.column(1).to_pylist())
             spans = list(portions(raw))
             for i in range(0, len(spans), 4):  # lanes are fuller over several portions
                 begin, end = spans[i][0], spans[min(i + 4, len(spans)) - 1][1]
@@ -367,20 +386,20 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2, s: Settings = Set
                 tail = target >= s.own
                 n = np.bincount(owner, minlength=docs_here)
                 rest = np.flatnonzero(~often)
-                yield pd.DataFrame({
+                yield {
                     "row": row + np.arange(docs_here),
-                    "doc_id": pdf["doc_id"].iloc[begin:end].astype("Int64").array,
-                    "held_out": pdf["held_out"].iloc[begin:end].array,
+                    "doc_id": batch.column(0).slice(begin, docs_here),
+                    "held_out": batch.column(2).slice(begin, docs_here),
                     "n_tokens": n,
                     "known": np.bincount(owner[often], minlength=docs_here),
                     "base": total(log_count) - n * np.log10(c.tokens + c.kinds + 1),
                     "lm": scores(w, target, owner, docs_here, s) / ten + total((log_count - share[np.maximum(target - s.own, 0)])[tail], tail),
                     "rest": np.split(numbers[rest], np.cumsum(np.bincount(owner[rest], minlength=docs_here))[:-1]),
-                })
+                }
                 row += docs_here
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, rest array<long>"
-    rows = written(in_batches(given, run, kind))
+    rows = written(in_arrow(given, run, kind))
     # counts of the words that are not frequent; a word that training never saw adds log10(0 + 1) = 0
     less = words.select("h", "n")
     more = rows.select("row", F.explode("rest").alias("h")).join(less, "h").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("seen"))

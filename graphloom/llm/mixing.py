@@ -12,6 +12,7 @@ within the one range where the budget ends, from its rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,8 @@ PRODUCTION = Mix(
     domain_rules=(("^src[0-4]$", "web"), ("^src[5-9]$", "books"), ("^src1[0-9]$", "reference")),
 )
 LEVELS = ("domain", "lang", "source")
+#: Parts in which the rows of each leaf are dealt where they meet it.
+SHARES = 64
 
 
 def _weight(name: Column, weights: dict) -> Column:
@@ -104,6 +107,13 @@ def budgets(slim: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(above, list(LEVELS)).select(*LEVELS, "tokens", "rows", F.col("total").alias("budget"))
 
 
+def _beside(rows: DataFrame, leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows joined with their leaf, each leaf SHARES times, so that no leaf's rows meet in one task."""
+    dealt = rows.withColumn("__share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
+    many = leaves.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(many, [*keys, "__share"]).drop("__share")
+
+
 def cuts(slim: DataFrame, mix: Mix) -> DataFrame:
     """For each leaf: whole epochs, and last_key, the greatest key of the epoch after them that is still taken (or null).
 
@@ -115,7 +125,7 @@ def cuts(slim: DataFrame, mix: Mix) -> DataFrame:
     b = b.withColumn("rest", F.floor(F.col("budget") + 1e-6) - F.col("epochs") * F.col("tokens"))
     # hex digits that deal the leaf's rows over ranges of about range_rows
     b = written(b.withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / mix.range_rows) / 4)).cast("int")))
-    rows = slim.join(b.where("rest > 0 and tokens > 0").select(*LEVELS, "epochs", "rest", "digits"), list(LEVELS))
+    rows = _beside(slim, b.where("rest > 0 and tokens > 0").select(*LEVELS, "epochs", "rest", "digits"), LEVELS)
     rows = rows.withColumn("key", key_of(F.col("epochs") + 1, mix)).withColumn("range", F.expr("substring(key, 1, digits)"))
     rows = rows.select(*LEVELS, "rest", "range", "key", "tokens")
     ranges = rows.groupBy(*LEVELS, "rest", "range").agg(F.sum("tokens").alias("n"), F.max("key").alias("top"))
@@ -143,7 +153,7 @@ def _copies() -> Column:
 def _with_cuts(df: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     """df with the columns of its leaf's cut; df needs doc_id, and __domain, __lang, __source."""
     cut = leaves.select(*(F.col(n).alias(f"__{n}") for n in LEVELS), F.col("epochs").alias("__epochs"), F.col("last_key").alias("__last"))
-    out = df.join(cut, [f"__{n}" for n in LEVELS])
+    out = _beside(df, cut, [f"__{n}" for n in LEVELS])
     return out.withColumn("__key", key_of(F.col("__epochs") + 1, mix))
 
 

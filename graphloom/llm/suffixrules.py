@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_batches
+from graphloom.llm.common import in_arrow
 from graphloom.llm.wordhash import as_bytes, portions, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -133,11 +133,11 @@ def judged(docs: DataFrame, least: int = 8, most_covered: float = 0.25, most_lon
     """
 
     def run(batches):
-        for pdf in batches:
-            m = measured(list(pdf["text"]), least)
+        for batch in batches:
+            m = measured(batch.column(1).to_pylist(), least)
             n = m["n_words"]
             failed = (n < fewest_words) | (100 * m["n_repeat_words"] > most_repeat_percent * n)
             kept = ~failed & (m["repeated_words"] <= most_covered * n) & (m["longest_repeat"] <= most_longest)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **m, "base_failed": failed, "kept": kept})
+            yield {"doc_id": batch.column(0), **m, "base_failed": failed, "kept": kept}
 
-    return in_batches(docs.select("doc_id", "text"), run, SCHEMA)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, in_batches
+from graphloom.llm.common import fold_of, in_arrow, in_batches
 from graphloom.llm.wordhash import as_bytes
 
 FEATURES = ("against_bad", "against_plain", "log_bytes", "log_ratio")
@@ -159,13 +159,13 @@ def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, lea
     """doc_id, held_out, score and predicted for every row; a null text is empty and gets the score of no evidence."""
 
     def run(batches):
-        for pdf in batches:
-            x = (measured(as_bytes(pdf["text"]), model.good, model.bad, model.settings) - model.mean) / model.scale
+        for batch in batches:
+            x = (measured(as_bytes(batch.column(1).to_pylist()), model.good, model.bad, model.settings) - model.mean) / model.scale
             p = 1 / (1 + np.exp(-np.clip(_terms(x) @ model.weights, -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["__out"], "score": p, "predicted": (p >= least).astype(np.int32)})
+            yield {"doc_id": batch.column(0), "held_out": batch.column(2), "score": p, "predicted": (p >= least).astype(np.int32)}
 
-    given = docs.select("doc_id", "text", (fold_of(F.col("doc_id"), folds) == held_out).alias("__out"))
-    return in_batches(given, run, "doc_id long, held_out boolean, score double, predicted int")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_of(F.col("doc_id"), folds) == held_out).alias("__out"))
+    return in_arrow(given, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:

@@ -18,7 +18,7 @@ def odd_texts():
 
 def odd_docs(spark, extra=False):
     rows = [(i, t, None if i % 5 == 0 else ["en", "de"][i % 2], None if i % 7 == 0 else f"src{i % 3}", len(t) if t else None) for i, t in enumerate(odd_texts())]
-    rows += [rows[6], rows[6], (None, "no id at all", None, None, None), (None, None, None, None, None)]
+    rows += [rows[6], rows[6], (2**60 + 1, "an id that no double holds", "en", "src1", 26), (None, "no id at all", None, None, None), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
     if extra:
         from pyspark.sql import functions as F

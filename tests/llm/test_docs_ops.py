@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from tests.llm.helpers import no_docs, odd_docs, odd_texts
+from tests.llm.helpers import DOCS, no_docs, odd_docs, odd_texts
 from tokenizers import Tokenizer
 
 from graphloom.llm import ballhash, binslack, queries, suffixrules
@@ -210,3 +210,11 @@ def test_simhash_stage_keeps_one_of_each(spark):
     assert ids == sorted(d for d, c in classes if d is not None and d == c)
     assert kept.where("doc_id is null").count() == 2
     assert ballhash.one_of_each(no_docs(spark)).count() == 0
+
+
+def test_simhash_stage_tells_texts_of_one_id_apart(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, "a"), (5, "a"), (5, "b"), (7, "c"), (7, "d"), (7, "d"), (2**60 + 1, "d"), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame([(i, texts[t], "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"][0]) for r in ballhash.one_of_each(docs).collect())
+    assert got == Counter({(1, "a"): 1, (5, "b"): 1, (7, "c"): 1, (7, "d"): 1, (None, "a"): 2})

@@ -432,20 +432,84 @@ def test_language_model(spark, sf):
     assert all(r["score"] < 0 for r in rows)
 
 
-def test_network_learns_from_every_document_of_a_large_corpus(spark, sf, monkeypatch):
+def test_network_learns_from_every_document_of_a_large_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    s = gatedlm.Settings(rounds=2, shard_tokens=100_000_000)
+    dealt = gatedlm.dealt(docs, 100_000_000, gatedlm.Settings(rounds=2)).collect()
+    assert Counter(r["text"] for r in dealt) == Counter(r["text"] for r in docs.collect())
+    assert {r["round"] for r in dealt} == {0, 1} and len({r["shard"] for r in dealt}) > 50
+
+
+def test_network_does_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    s = gatedlm.Settings(rounds=2, shard_tokens=3000)
     c = gatedlm.gathered(gatedlm.counted(docs), s)
-    c.tokens = 100_000_000  # as if the corpus were large
-    learned, plain = [], gatedlm.written
-    monkeypatch.setattr(gatedlm, "written", lambda df: learned.append(plain(df)) or learned[-1])
-    gatedlm.network(docs, c, s)
-    assert len(learned) == 1
-    assert Counter(r["text"] for r in learned[0].collect()) == Counter(r["text"] for r in docs.collect())
-    assert {r["round"] for r in learned[0].collect()} == {0, 1}
+    one, many = (gatedlm.network(docs.repartition(n), c, s) for n in (1, 7))
+    assert all(np.allclose(one[k], many[k], atol=1e-5) for k in one)
+    assert not np.allclose(one["w"], gatedlm.fresh(c, s)["w"], atol=1e-3)
+
+
+def slow_log_probabilities(w, symbols, s):
+    """Natural log-probabilities of one document's symbols: the network's equations, a word at a time, in doubles."""
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    n, before, h, out = s.hidden, 0, np.zeros(s.hidden), []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for target in symbols:
+        h = np.zeros(n) if before == 0 else h
+        x, a = w["x"][before], h @ w["u"]
+        z, r = sigmoid(x[:n] + a[:n]), sigmoid(x[n : 2 * n] + a[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :])
+        k = target // s.class_words if target < s.own else target - s.own + s.own_classes
+        logits = w["c"] @ h + w["cb"]
+        p = logits[k] - np.log(np.exp(logits).sum())
+        if target < s.own:
+            logits = w["w"][k] @ h + w["wb"][k]
+            p += logits[target % s.class_words] - np.log(np.exp(logits).sum())
+        out.append(p)
+        before = target
+    return out
 
 
-def test_network_is_a_distribution_and_gradients_hold():
+def test_scores_match_the_equations_word_by_word(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    s = gatedlm.Settings(own_classes=4, class_words=8, rounds=1, window=7, frequent=20)
+    got = {r["doc_id"]: r["score"] for r in gatedlm.scored(docs, s=s).collect()}
+    train = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2)
+    c = gatedlm.gathered(gatedlm.counted(train), s)
+    w = gatedlm.network(train, c, s)
+    counts = Counter({r["h"]: r["n"] for r in gatedlm.counted(train).collect()})
+    for r in docs.collect():
+        numbers, kinds, _ = gatedlm.tokens_of([(r["text"] or "").encode()])
+        symbols = gatedlm.symbols(numbers, kinds, c, s)
+        want = sum(slow_log_probabilities(w, symbols.tolist(), s)) / math.log(10)
+        for h, symbol in zip(numbers.tolist(), symbols.tolist(), strict=True):
+            if symbol >= s.own:
+                k = symbol - s.own
+                want += math.log10((counts[h] + 1) / (c.tail_tokens[k] + c.tail_kinds[k] + 1))
+        assert abs(want - got[r["doc_id"]]) <= 1e-3 * abs(want) + 1e-2
+
+
+def test_gradients_match_differences(monkeypatch):
+    s = gatedlm.Settings(own_classes=3, class_words=2, hidden=4, lanes=2, window=50, train_lanes=1, train_window=50, rate=1e-6)
+    c = gatedlm.Corpus(np.array([], np.int64), np.array([], np.int64), np.array([1]), np.array([0]), np.array([5, 4, 3, 2, 1, 1]), 30, 9, np.ones(64, np.int64), np.ones(64, np.int64))
+    w = {k: v.astype(np.float64) for k, v in gatedlm.fresh(c, s).items()}
+    target, owner = np.array([1, 2, 3, 9, 4, 5, 1, 0], np.int32), np.zeros(8, int)
+    loss = lambda w: -sum(slow_log_probabilities(w, target.tolist(), s))
+    found = []
+    clip = np.clip
+    monkeypatch.setattr(gatedlm.np, "clip", lambda v, *a: found.append(v) or clip(v, *a))
+    gatedlm.trained({k: v.astype(np.float32) for k, v in w.items()}, target, owner, 1, s)
+    by_shape = {v.shape: v for v in found}
+    rnd = np.random.default_rng(0)
+    for k in ("x", "u", "c", "cb", "w", "wb"):
+        for _ in range(12):
+            at = tuple(int(rnd.integers(n)) for n in w[k].shape)
+            up, down = ({**w, k: w[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - by_shape[w[k].shape][at]) < 2e-3, (k, at)
+
+
+def test_network_is_a_distribution_and_learns():
     s = gatedlm.Settings(own_classes=3, class_words=2, hidden=4, lanes=3, window=5, train_lanes=2, train_window=4)
     c = gatedlm.Corpus(np.array([], np.int64), np.array([], np.int64), np.array([1]), np.array([0]), np.array([5, 4, 3, 2, 1, 1]), 30, 9, np.ones(64, np.int64), np.ones(64, np.int64))
     w = gatedlm.fresh(c, s)
