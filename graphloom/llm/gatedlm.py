@@ -39,11 +39,12 @@ class Settings:
     hidden: int = 16
     lanes: int = 512
     window: int = 64
-    train_lanes: int = 32
+    train_lanes: int = 256  # at most; fewer where a lane would hold under lane_tokens
+    lane_tokens: int = 1024
     train_window: int = 32
     rounds: int = 3
     rate: float = 0.08
-    shard_tokens: int = 200_000  # of a round
+    shard_tokens: int = 1_000_000  # of a round
     frequent: int = 1 << 18  # words whose counts go with the tasks
     seed: int = 3
 
@@ -166,6 +167,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
 def _by_class(classes: np.ndarray, own_classes: int):
     """Rows of each class of own words."""
     order = np.argsort(classes, kind="stable")
@@ -237,33 +244,39 @@ def scores(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Setting
 
 
 def trained(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Settings) -> dict:
-    """Weights after one pass over the documents, by Adagrad on windows of truncated backpropagation."""
+    """Weights after one pass over the documents, by Adagrad on windows of truncated backpropagation.
+
+    Longer documents are trained on in pieces of lane_tokens, so that lanes end together.
+    """
     w = {k: v.copy() for k, v in w.items()}
     if not len(target):
         return w
-    grid, _, length = _grid(target, owner, docs, s.train_lanes)
+    size = np.bincount(owner, minlength=docs)
+    piece = np.cumsum((np.arange(len(owner)) - (np.cumsum(size) - size)[owner]) % s.lane_tokens == 0) - 1
+    grid, _, length = _grid(target, piece, int(piece[-1]) + 1, min(s.train_lanes, max(8, len(target) // s.lane_tokens)))
     n, lanes = s.hidden, grid.shape[1]
     seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
     h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, np.int32)
     for begin in range(0, len(grid), s.train_window):
-        steps = min(s.train_window, len(grid) - begin)
-        real = begin + np.arange(steps)[:, None] < length[None, :]
+        steps, lanes = min(s.train_window, len(grid) - begin), int((length > begin).sum())
+        h, before = h[:lanes], before[:lanes]
+        real = begin + np.arange(steps)[:, None] < length[None, :lanes]
         tape, ins = [], []
         for t in range(steps):
             ins.append(before)
             made = _stepped(w, before, h)
             tape.append(made)
-            h, before = made[0], grid[begin + t]
+            h, before = made[0], grid[begin + t, :lanes]
         states = np.stack([m[0] for m in tape]).reshape(-1, n)
         rows = np.flatnonzero(real.reshape(-1))
-        want = grid[begin : begin + steps].reshape(-1)[rows]
+        want = grid[begin : begin + steps, :lanes].reshape(-1)[rows]
         used, cls = states[rows], _classes(want, s)
-        d_class = np.exp(_log_softmax(used @ w["c"].T + w["cb"]))
+        d_class = _softmax(used @ w["c"].T + w["cb"])
         d_class[np.arange(len(rows)), cls] -= 1
         g = {"c": d_class.T @ used, "cb": d_class.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
         d_used = d_class @ w["c"]
         for k, at in _by_class(cls, s.own_classes):
-            d_word = np.exp(_log_softmax(used[at] @ w["w"][k].T + w["wb"][k]))
+            d_word = _softmax(used[at] @ w["w"][k].T + w["wb"][k])
             d_word[np.arange(len(at)), want[at] % s.class_words] -= 1
             g["w"][k], g["wb"][k] = d_word.T @ used[at], d_word.sum(axis=0)
             d_used[at] += d_word @ w["w"][k]
@@ -282,7 +295,10 @@ def trained(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Settin
             g["u"] += prev.T @ d_a
             d_h = (d * z + d_a @ w["u"].T) * (ins[t] != 0)[:, None]
         g["x"] = np.zeros_like(w["x"])
-        np.add.at(g["x"], np.concatenate(ins), d_x.reshape(-1, 3 * n))
+        read = np.concatenate(ins)
+        order = np.argsort(read, kind="stable")
+        heads = np.flatnonzero(np.diff(read[order], prepend=-1))
+        g["x"][read[order[heads]]] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], heads, axis=0)
         for k, v in g.items():
             v = np.clip(v, -50, 50)
             seen[k] += v * v
