@@ -7,40 +7,78 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import extract_keywords
 from graphloom.operators.graph import degrees
+from graphloom.tables import written
 
 #: Weights by profile: name equal, name holds, path holds, signature or comment holds; bonus for each neighbour, at most 3; rows kept.
 PROFILES = {"search": (10, 5, 2, 1, 0.1, 15), "context": (3, 3, 1, 0, 0.2, 15), "plan": (10, 5, 3, 0, 0.0, 5)}
 PLAN_KINDS = ("file", "function", "class", "interface")
 
 
+def holding(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (kw, text) of words(kw) and texts(text) where text holds kw.
+
+    A text is filed under its three-letter grams and a word looks under that one of its grams that fewest texts have, so
+    only texts that share it are searched. Words under three letters, of which there are few, are tried on every text.
+    """
+    words, texts = words.distinct(), texts.where("text is not null").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))
+    filed = written(texts.where(F.length("text") >= 3).select("text", F.explode(grams(F.col("text"))).alias("gram")))
+    counts = filed.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = words.where(F.length("kw") >= 3).select("kw", F.explode(grams(F.col("kw"))).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy("kw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("kw", "least.gram")
+    found = rarest.join(filed, "gram").where(F.col("text").contains(F.col("kw"))).select("kw", "text")
+    short = words.where(F.length("kw") < 3).join(texts, F.col("text").contains(F.col("kw")))
+    return found.unionByName(short.select("kw", "text"))
+
+
 def keyword_rank(queries: DataFrame, nodes: DataFrame, edges: DataFrame, profile: str = "search") -> DataFrame:
-    """(query_id, id, score, rank) for queries(query_id, text); a query batch is small and goes to every node."""
+    """(query_id, id, score, rank) for queries(query_id, text).
+
+    Points are summed once for each word and node. Nodes that only one word of the batch hits are ranked by word before
+    they meet the queries, since no more than the first of them can be among a query's best.
+    """
     equal, holds, path, more, bonus, top = PROFILES[profile]
-    q = queries.select("query_id", F.explode(extract_keywords(F.col("text"), profile)).alias("kw"))
+    q = queries.select("query_id", F.explode(extract_keywords(F.col("text"), profile)).alias("kw")).groupBy("query_id", "kw").agg(F.count("*").alias("times"))
     n = nodes.where(F.col("kind").isin(*PLAN_KINDS)) if profile == "plan" else nodes
-    name, file = F.lower("name"), F.lower("file_path")
-    hit = name.contains(F.col("kw")) | file.contains(F.col("kw"))
-    for c in ("signature", "doc_comment"):
-        if c in nodes.columns and more:
-            hit = hit | F.coalesce(F.lower(c).contains(F.col("kw")), F.lit(False))
-    s = F.when(name == F.col("kw"), equal).when(name.contains(F.col("kw")), holds).otherwise(0) + F.when(file.contains(F.col("kw")), path).otherwise(0)
-    for c in ("signature", "doc_comment"):
-        if c in nodes.columns and more:
-            s = s + F.when(F.coalesce(F.lower(c).contains(F.col("kw")), F.lit(False)), more).otherwise(0)
-    found = n.join(q, hit).groupBy("query_id", "id").agg(F.sum(s).alias("hits")).where("hits > 0")
-    found = found.join(degrees(nodes, edges).select("id", "degree"), "id")
-    found = found.withColumn("score", F.round(F.col("hits") + F.least(F.col("degree") * bonus, F.lit(3.0)), 6))
-    at = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= top).select("query_id", "id", "score", "rank")
+    points = {"name": F.when(F.col("text") == F.col("kw"), equal).otherwise(holds), "file_path": F.lit(path)}
+    points |= {c: F.lit(more) for c in ("signature", "doc_comment") if c in nodes.columns and more}
+    seen = None
+    for c, value in points.items():
+        part = n.select("id", F.lower(c).alias("text"), F.lit(c).alias("place"))
+        seen = part if seen is None else seen.unionByName(part)
+    q = written(q)
+    worth = F.lit(0)
+    for c, value in points.items():
+        worth = F.when(F.col("place") == c, value).otherwise(worth)
+    met = seen.join(holding(q.select("kw"), seen.select("text")), "text").groupBy("kw", "id").agg(F.sum(worth).alias("points")).where("points > 0")
+    met = written(met.join(degrees(nodes, edges).select("id", "degree"), "id"))
+    several = written(met.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        scored = rows.withColumn("score", F.round(F.col("hits") + F.least(F.col("degree") * bonus, F.lit(3.0)), 6))
+        at = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= top)
+
+    both = met.join(several, "id", "left_semi").join(q, "kw").groupBy("query_id", "id").agg(F.sum(F.col("points") * F.col("times")).alias("hits"), F.min("degree").alias("degree"))
+    one = met.join(several, "id", "left_anti").join(q.select("kw", "times").distinct(), "kw").withColumn("hits", F.col("points") * F.col("times"))
+    one = best(one, "kw", "times").select("kw", "times", "id", "hits", "degree").join(q, ["kw", "times"])
+    return best(both.unionByName(one.select("query_id", "id", "hits", "degree")), "query_id").select("query_id", "id", "score", "rank")
 
 
 def hub_files(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, id, dependents): nodes whose name or path holds a task word of over three letters, by dependents."""
-    w = tasks.select("query_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 3)).alias("kw"))
-    hit = F.lower("name").contains(F.col("kw")) | F.lower("file_path").contains(F.col("kw"))
-    found = nodes.join(w, hit).select("query_id", "id").distinct().join(degrees(nodes, edges).select("id", F.col("in_degree").alias("dependents")), "id")
-    at = Window.partitionBy("query_id").orderBy(F.desc("dependents"), "id")
-    return found.withColumn("rn", F.row_number().over(at)).where(F.col("rn") <= k).select("query_id", "id", "dependents")
+    w = written(tasks.select("query_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 3)).alias("kw")).distinct())
+    seen = nodes.select("id", F.lower("name").alias("text")).unionByName(nodes.select("id", F.lower("file_path").alias("text")))
+    dependents = degrees(nodes, edges).select("id", F.col("in_degree").alias("dependents"))
+    met = seen.join(holding(w.select("kw"), seen.select("text")), "text").select("kw", "id").distinct().join(dependents, "id")
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        at = Window.partitionBy(key).orderBy(F.desc("dependents"), "id")
+        return rows.withColumn("rn", F.row_number().over(at)).where(F.col("rn") <= k).drop("rn")
+
+    # a query's first nodes are among the first of its words
+    found = first(met, "kw").join(w, "kw").select("query_id", "id", "dependents").distinct()
+    return first(found, "query_id").select("query_id", "id", "dependents")
 
 
 def dot(a: Column, b: Column) -> Column:
