@@ -106,11 +106,11 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below
     q = queries.select("query_id", "vector")
     if c.count() > exact_below:
         slim = c.select("id", sketch(F.col("embedding")).alias("s"))
-        near = slim.join(F.broadcast(q.select("query_id", sketch(F.col("vector")).alias("t"))), F.lit(True)).select("query_id", "id", dot(F.col("s"), F.col("t")).alias("d"))
+        near = slim.join(q.select("query_id", sketch(F.col("vector")).alias("t")), F.lit(True)).select("query_id", "id", dot(F.col("s"), F.col("t")).alias("d"))
         near = near.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("d"), "id"))).where(F.col("rn") <= k * over)
         pairs = near.select("query_id", "id").join(c.select("id", "embedding"), "id").join(q, "query_id")
     else:
-        pairs = c.select("id", "embedding").join(F.broadcast(q), F.lit(True))
+        pairs = c.select("id", "embedding").join(q, F.lit(True))
     e, v = F.col("embedding"), F.col("vector")
     cosine = dot(e, v) / F.nullif(F.sqrt(dot(e, e)) * F.sqrt(dot(v, v)), F.lit(0.0))
     s = pairs.select("query_id", "id", F.round(cosine, 9).alias("similarity")).where("similarity > 0")
@@ -118,11 +118,22 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, similarity, rank): the first k chunks by id that hold one of the first five terms of over two letters."""
+    """(query_id, id, similarity, rank): the first k chunks by id that hold one of the first five terms of over two letters.
+
+    Terms hold no white space, so a chunk holds a term where one of its own words does: terms meet the distinct words of
+    all chunks. Of each word, each term and each query only the first k chunks are carried on.
+    """
+    words = F.split(F.lower("content"), r"\s+")
     terms = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 2), 1, 5)
-    t = queries.select("query_id", F.explode(terms).alias("term"))
-    hit = chunks.select("id", F.lower("content").alias("c")).join(F.broadcast(t), F.col("c").contains(F.col("term"))).select("query_id", "id").distinct()
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= k).select("query_id", "id", F.lit(0.5).alias("similarity"), "rank")
+    t = written(queries.select("query_id", F.explode(terms).alias("kw")).distinct())
+
+    def first(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("rank") <= k)
+
+    filed = written(first(chunks.select("id", F.explode(F.array_distinct(words)).alias("text")).where(F.length("text") > 2), "text").select("text", "id"))
+    met = holding(t.select("kw"), filed.select("text")).join(filed, "text").select("kw", "id").distinct()
+    hit = first(met, "kw").select("kw", "id").join(t, "kw").select("query_id", "id").distinct()
+    return first(hit, "query_id").select("query_id", "id", F.lit(0.5).alias("similarity"), "rank")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below: int = 1000) -> DataFrame:

@@ -212,13 +212,13 @@ def _(spark, sf):
     return it.critical_paths(seeds, n, e).select("seed", F.array_join("path", ">").alias("path"))
 
 
-_TASKS = "SELECT p_partkey AS query_id, p_name || ' order 12' AS text FROM part WHERE p_partkey % 50 = 1"
+_TASKS = "SELECT p_partkey AS query_id, p_name || ' order 12' AS text FROM part WHERE p_partkey % 100 = 0"
 
 
 def _tasks(spark, sf):
     from graphloom.fixtures import table
 
-    return table(spark, sf, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" order 12")).alias("text"))
+    return table(spark, sf, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" order 12")).alias("text"))
 
 
 @query("g9_plan_from_tasks")

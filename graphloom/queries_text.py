@@ -184,10 +184,16 @@ def _(spark, sf):
     return x.validate_actions(rows).select(p[0].cast("long").alias("id"), p[1].alias("session_id"), "violation")
 
 
-@_q("d4_trim_payload", "SELECT doc_id, length(CASE WHEN ceil(length(text) / 4) <= 3500 THEN text ELSE substr(text, 1, 1500) || chr(10) || '...' || chr(10) || right(text, 12500) END) AS n FROM documents WHERE len(string_split(text, chr(10))) <= 400 AND NOT contains(text, '===')")
+_TRIM = r"""WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, len(regexp_extract_all(text, '=== [^=\n]+ ===')) AS marks, strpos(substr(text, 2), '===') AS second, length(text) - strpos(reverse(text), '===') - 1 AS last FROM documents)
+SELECT doc_id, length(CASE WHEN ceil(length(text) / 4) <= 3500 THEN text
+ WHEN marks >= 3 THEN substr(text, 1, second + 1 + 300) || chr(10) || '...' || chr(10) || substr(text, greatest(last - 100, 1))
+ WHEN len(lines) > 400 THEN array_to_string(lines[1:100], chr(10)) || chr(10) || '...' || chr(10) || array_to_string(lines[greatest(len(lines) - 199, 1):], chr(10))
+ ELSE substr(text, 1, 1500) || chr(10) || '...' || chr(10) || right(text, 12500) END) AS n FROM s"""
+
+
+@_q("d4_trim_payload", _TRIM)
 def _(spark, sf):
-    d = table(spark, sf, "documents").where("size(split(text, '\n')) <= 400 and not contains(text, '===')")
-    return d.select("doc_id", F.length(x.trim_payload(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.length(x.trim_payload(F.col("text"))).cast("long").alias("n"))
 
 
 _FIT = """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM messages),
@@ -213,11 +219,10 @@ def _(spark, sf):
 
 
 def _diffs(spark, sf):
-    p = view(spark, sf, "file_pairs").select(F.col("doc_id").alias("id"), F.concat_ws("\n", "new_content", F.lit("end")).alias("old_content"), F.concat_ws("\n", F.lit("begin"), "new_content", F.coalesce(F.substring("old_content", 1, 40), F.lit(""))).alias("new_content"))
-    return x.line_diffs(p)
+    return x.line_diffs(view(spark, sf, "file_pairs").withColumnRenamed("doc_id", "id"))
 
 
-_DIFF = """WITH p AS (SELECT doc_id AS id, new_content || chr(10) || 'end' AS a, 'begin' || chr(10) || new_content || chr(10) || coalesce(substr(old_content, 1, 40), '') AS b FROM file_pairs),
+_DIFF = """WITH p AS (SELECT doc_id AS id, coalesce(old_content, '') AS a, coalesce(new_content, '') AS b FROM file_pairs),
 oa AS (SELECT id, unnest(string_split(a, chr(10))) AS line, generate_subscripts(string_split(a, chr(10)), 1) - 1 AS pos FROM p), ob AS (SELECT id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) - 1 AS pos FROM p),
 ka AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY pos) AS k FROM oa), kb AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY pos) AS k FROM ob),
 j AS (SELECT coalesce(ka.id, kb.id) AS id, ka.pos AS old_pos, kb.pos AS new_pos, coalesce(ka.line, kb.line) AS line FROM ka FULL JOIN kb ON ka.id = kb.id AND ka.line = kb.line AND ka.k = kb.k),
@@ -246,10 +251,10 @@ def _(spark, sf):
 # retrieval
 def _vec(spark, sf):
     c = view(spark, sf, "chunks")
-    return c, c.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.substring("content", 1, 60).alias("text"))
+    return c, c.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.col("content").alias("text"))
 
 
-_COS = """WITH c AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e, content FROM chunks), q AS (SELECT id AS query_id, e AS v, substr(content, 1, 60) AS text FROM c WHERE id < 5),
+_COS = """WITH c AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e, content FROM chunks), q AS (SELECT id AS query_id, e AS v, content AS text FROM c WHERE id % 100 = 0),
 s AS (SELECT query_id, id, round(list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v))), 9) AS similarity FROM q, c),
 v5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity > 0 QUALIFY rank <= {k})"""
 
@@ -266,7 +271,7 @@ def _(spark, sf):
     return r.vector_search(q, c, 5, exact_below=0)
 
 
-_KEY = r"""t AS (SELECT id AS query_id, unnest(list_filter(string_split_regex(lower(substr(content, 1, 60)), '\s+'), lambda w: length(w) > 2)[1:5]) AS term FROM chunks WHERE id < 5),
+_KEY = r"""t AS (SELECT id AS query_id, unnest(list_filter(string_split_regex(lower(content), '\s+'), lambda w: length(w) > 2)[1:5]) AS term FROM chunks WHERE id % 100 = 0),
 k5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT DISTINCT query_id, c.id FROM t JOIN chunks c ON contains(lower(c.content), term)) x QUALIFY rank <= 5)"""
 
 
@@ -307,11 +312,11 @@ def _(spark, sf):
     return r.chunk_stats(view(spark, sf, "chunks"))
 
 
-_TASKS = "tq AS (SELECT p_partkey AS query_id, p_name || ' order 12 europe' AS text FROM part WHERE p_partkey % 50 = 1)"
+_TASKS = "tq AS (SELECT p_partkey AS query_id, p_name || ' order 12 europe' AS text FROM part WHERE p_partkey % 100 = 0)"
 
 
 def _tasks(spark, sf):
-    return table(spark, sf, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" order 12 europe")).alias("text"))
+    return table(spark, sf, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" order 12 europe")).alias("text"))
 
 
 @_q("t2_keyword_rank", f"""WITH {_TASKS}, kw AS (SELECT query_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'fix', 'add', 'get', 'set', 'all', 'make', 'any'))) AS kw FROM tq),
