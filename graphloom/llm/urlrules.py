@@ -1,8 +1,8 @@
 """URL filtering by pattern rules that are found through their rarest literal token.
 
 Every rule names literal tokens that any URL it fits must hold. A first pass counts how many URLs hold each of those
-tokens; a rule is then filed under the one that fewest URLs hold. The tokens of a URL fetch their rules, and only the
-regular expressions of those are run. The index is as large as the rule list, never as the URLs.
+tokens; a rule is then filed under the one that fewest URLs hold. The tokens of a URL fetch their rules by a hash join,
+and only the regular expressions of those are run. The index is as large as the rule list, never as the URLs.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules travel with the plan; more than this many are refused, as they would need a joined table.
-MOST_RULES = 100_000
+#: So many rules at most are sent to every executor; longer lists are joined as Spark sees fit.
+SENT_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -68,15 +68,20 @@ def _held(url: Column) -> Column:
     return F.array_distinct(F.split(F.coalesce(lowered(url), F.lit("")), "[^a-z0-9]+"))
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= SENT_RULES else table
+
+
 def filed(urls: DataFrame, rules: Iterable[Rule]) -> dict[str, list[Rule]]:
     """Rules by their rarest token in urls(url); ties go to the token first in the alphabet."""
     rules = list(rules)
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can travel with the plan")
     wanted = sorted({t for r in rules for t in r.tokens})
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
-    seen = urls.select(F.explode(F.array_intersect(_held(F.col("url")), F.array(*map(F.lit, wanted)))).alias("t"))
+    if not rules:
+        return {}
+    asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+    seen = urls.select(F.explode(_held(F.col("url"))).alias("t")).join(_small(asked, len(wanted)), "t")
     count = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most one row a token
     index: dict[str, list[Rule]] = {}
     for r in rules:
@@ -89,31 +94,29 @@ def judged(pages: DataFrame, rules: Iterable[Rule] = LISTED + PATTERNS, default:
 
     rule is the longest listed rule that fits (ties: first by name), and its verdict stands; else rule is null and the
     verdict is `block` if any blocking pattern fits, `allow` if only allowing ones do, and `default` if none does. A
-    null or malformed URL has an empty host and path. Repeated rows are judged one by one.
+    null or malformed URL has an empty host and path. Rows that agree in page_id and url are judged once and returned as
+    often as they occur; an empty table gives an empty one. A URL costs its tokens and the rules these fetch, however
+    long it is and however many rules there are. Rows are shuffled once, by page_id and url.
     """
     index = filed(pages.select("url"), rules)
-    kind = "array<struct<size:int,name:string,pattern:string,verdict:string,listed:boolean>>"
-
-    def entry(r: Rule) -> Column:
-        fields = ((len(r.name), "size"), (r.name, "name"), (r.pattern, "pattern"), (r.verdict, "verdict"), (r.listed, "listed"))
-        return F.struct(*(F.lit(v).alias(n) for v, n in fields))
-
-    book = F.create_map(*(x for t in sorted(index) for x in (F.lit(t), F.array(*map(entry, index[t])).cast(kind))))
+    flat = [(t, -len(r.name), r.name, r.pattern, r.verdict, r.listed) for t, rs in sorted(index.items()) for r in rs]
+    book = pages.sparkSession.createDataFrame(flat, "token string, shorter int, name string, pattern string, says string, listed boolean")
+    once = pages.groupBy("page_id", "url").agg(F.count("*").alias("times"))
+    asked = once.select("*", F.explode(_held(F.col("url"))).alias("token")).join(_small(book, len(flat)), "token", "left")
     host, path = host_and_path(F.col("url"))
-    at = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    fetched = F.flatten(F.transform(_held(F.col("url")), lambda t: F.coalesce(F.element_at(book, t), F.array().cast(kind))))
-    subject, whole = F.concat("host", "path"), F.coalesce(lowered(F.col("url")), F.lit(""))
-    fit = F.filter(fetched, lambda r: F.when(r["listed"], F.regexp_like(subject, r["pattern"])).otherwise(F.regexp_like(whole, r["pattern"])))
-    found = at.select("page_id", "host", "path", fit.alias("fit"))
-    named = F.filter("fit", lambda r: r["listed"])
-    longest = F.element_at(F.array_sort(named, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)), 1)
-    other = (
-        F.when(F.exists("fit", lambda r: ~r["listed"] & (r["verdict"] == "block")), "block")
-        .when(F.exists("fit", lambda r: ~r["listed"] & (r["verdict"] == "allow")), "allow")
-        .otherwise(default)
+    fit = F.when(F.col("listed"), F.regexp_like(F.concat(host, path), F.col("pattern"))).otherwise(F.regexp_like(lowered(F.col("url")), F.col("pattern")))
+    pattern = lambda says: F.max(fit & ~F.col("listed") & (F.col("says") == says))
+    found = asked.groupBy("page_id", "url").agg(
+        F.first("times").alias("times"),
+        F.min(F.when(fit & F.col("listed"), F.struct("shorter", "name", "says"))).alias("best"),
+        pattern("block").alias("blocks"),
+        pattern("allow").alias("allows"),
     )
-    best = F.when(F.size(named) > 0, longest)
-    return found.select("page_id", "host", "path", best["name"].alias("rule"), F.coalesce(best["verdict"], other).alias("verdict"))
+    other = F.when(F.col("blocks"), "block").when(F.col("allows"), "allow").otherwise(default)
+    return found.select(
+        "page_id", host.alias("host"), path.alias("path"), F.col("best.name").alias("rule"), F.coalesce("best.says", other).alias("verdict"),
+        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy"),
+    ).drop("__copy")
 
 
 ORACLE = r"""
