@@ -89,16 +89,30 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.select("conv_id", F.transform(pieces, turn).alias("turns"), masked.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def as_log(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) as a log: every row opens a message and streams its text.
+def as_log(conversations: DataFrame, pieces: int = 4) -> DataFrame:
+    """conversations(conv_id, turn, role, text) as the log of a service that streams, edits and regenerates.
 
-    Rows are numbered by turn, then role and text, so rows that share a turn stay separate messages.
+    Rows are numbered by turn, then role and text, so rows that share a turn stay separate messages. Each text ends as
+    `pieces` deltas. Before these, rows of the third kind (by number modulo 3) only open a message; those of the first
+    have a draft edited away; those of the second a draft and a reply to it, in the next turn, both taken back when the
+    turn is regenerated. Folded, the log gives the rows back. An empty table gives an empty log; nulls are as in rebuilt.
     """
     at = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = conversations.select("conv_id", "role", "text", F.row_number().over(at).cast("long").alias("turn"))
-    event = lambda k, kind, text: F.struct((F.col("turn") * 2 + k).alias("seq"), F.lit(kind).alias("kind"), F.col("turn"), F.col("role"), text.alias("text"))
-    both = F.array(event(0, "message", F.lit("")), event(1, "delta", F.col("text")))
-    return rows.select("conv_id", F.inline(both))
+    turn, role, text, way = F.col("turn"), F.col("role"), F.col("text"), F.col("turn") % 3
+    draft, size = F.concat(F.lit("draft: "), F.coalesce(text, F.lit(""))), F.ceil(F.length(text) / pieces).cast("int")
+
+    def event(k, kind, said, of=turn, by=role):
+        return F.struct((turn * (pieces + 8) + k).alias("seq"), F.lit(kind).alias("kind"), of.alias("turn"), by.alias("role"), said.alias("text"))
+
+    none = F.lit("")
+    opening = (
+        F.when(way == 1, F.array(event(0, "message", none), event(1, "delta", draft), event(2, "edit", none)))
+        .when(way == 2, F.array(event(0, "message", draft), event(1, "message", none, turn + 1, F.lit("user")), event(2, "delta", draft, turn + 1, F.lit("user")), event(3, "regenerate", none)))
+        .otherwise(F.array(event(0, "message", none)))
+    )
+    streamed = F.array(*(event(4 + k, "delta", F.substring(text, F.lit(k) * size + 1, size)) for k in range(pieces)))
+    return rows.select("conv_id", F.inline(F.concat(opening, streamed)))
 
 
 _ESC = "replace({0}, '\\', '\\\\')"
