@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ class Settings:
     block_bytes: int = 1024
     level: int = 3
     dictionary_texts: int = 3000  # of each label at most
+    dictionary_blocks: int = 12_000  # of each label at most, from anywhere in those texts
     curve_texts: int = 6000  # of each label at most
-    text_bytes: int = 16_384  # of each dictionary text at most, from its start: the dictionary holds far less
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,8 @@ def _blocks(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def dictionary(texts: list[bytes], settings: Settings) -> bytes:
-    """A trained dictionary; from too little text, the text itself serves as raw content."""
-    blocks = [b for t in texts for b in _blocks(t[: settings.text_bytes], settings.block_bytes)]
+def dictionary(blocks: list[bytes], settings: Settings) -> bytes:
+    """A dictionary trained on blocks; from too little text, the text itself serves as raw content."""
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, blocks, level=settings.level).as_bytes()
     except zstandard.ZstdError:
@@ -111,8 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), fol
     """Learns from labelled documents outside the held-out fold.
 
     Of each label a bounded number of rows is used, those with the smallest hash of their id; documents with several
-    or null labels count by the mean of their labels, and are left out when that is a half. Only these texts, cut to
-    text_bytes for the dictionaries, reach the driver; the curve's texts are measured on the executors.
+    or null labels count by the mean of their labels, and are left out when that is a half. Texts are cut into blocks and
+    measured on the executors; dictionary_blocks blocks of each label, those with the smallest hash, and the figures of
+    curve_texts texts of each label reach the driver, however many rows share an id. Repeated rows count once. Without
+    usable labels the score of every text is a half.
     """
     marked = (
         labels.where("doc_id is not null and quality is not null")
@@ -131,11 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), fol
             part = part.select("doc_id", "good", F.lit(odd).alias("odd"))
             chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * (dictionary_texts + curve_texts) small rows
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    limit = settings.text_bytes
-    own = texts.where("odd").select("doc_id", "good", F.substring("text", 1, limit).alias("text")).toPandas()
-    own = own.sort_values(["doc_id", "text"])
-    good, bad = (dictionary([t.encode("utf-8", "surrogatepass") for t in own["text"][own["good"] == g]], settings) for g in (True, False))
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct()
+
+    def cut(batches):
+        for pdf in batches:
+            for g, t in zip(pdf["good"], as_bytes(pdf["text"])):
+                blocks = _blocks(t, settings.block_bytes)
+                yield pd.DataFrame({"good": [bool(g)] * len(blocks), "h": [xxhash.xxh64_intdigest(b) >> 1 for b in blocks], "block": blocks})
+
+    cuts = in_batches(texts.where("odd"), cut, "good boolean, h long, block binary").distinct()
+    good, bad = (dictionary([bytes(r["block"]) for r in cuts.where(F.col("good") == g).orderBy("h", "block").limit(settings.dictionary_blocks).collect()], settings) for g in (True, False))
 
     def run(batches):
         for pdf in batches:
@@ -143,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), fol
             yield pd.DataFrame({**{n: x[:, k] for k, n in enumerate(FEATURES)}, "good": pdf["good"], "doc_id": pdf["doc_id"]})
 
     seen = in_batches(texts.where("not odd"), run, ", ".join(f"{n} double" for n in FEATURES) + ", good boolean, doc_id long")
-    seen = seen.toPandas().sort_values(["doc_id", *FEATURES])
+    order = [F.xxhash64(F.lit(17), "doc_id"), "doc_id", *FEATURES]
+    parts = [seen.where(F.col("good") == g).orderBy(*order).limit(settings.curve_texts).toPandas() for g in (True, False)]
+    seen = pd.concat(parts).sort_values(["doc_id", *FEATURES])
     y = seen["good"].to_numpy(dtype=float)
     # the bounded samples are weighted back to the labels' own shares
     weight = np.ones(len(y))
@@ -169,7 +178,10 @@ def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, lea
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores at least `least`."""
+    """The rows of docs, all columns as they are, whose text scores at least `least`, each as often as it occurs.
+
+    A null text counts as empty; nulls in other columns pass as they are. An empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
