@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, no_docs, odd_docs
 
@@ -325,6 +326,25 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert list(index) == ["rare"]
 
 
+def test_twenty_thousand_rules(spark):
+    hosts = [f"h{i % 500}.example{i % 7}.com" for i in range(900)]
+    rows = [(i, f"http://{h}/{'ab'[i % 2]}/{i % 40}/x") for i, h in enumerate(hosts)] + [(3, "http://h3.example3.com/b/3/x")] * 2
+    names = [f"h{i % 500}.example{i % 8}.com/{'ab'[i % 2]}/{i // 500}/" for i in range(20_000)] + ["example3.com/", "nowhere.org/"]
+    names = sorted(set(names))
+    rules = [urlrules.listed(n, "block" if len(n) % 2 else "allow") for n in names]
+    got = urlrules.judged(spark.createDataFrame(rows, "page_id long, url string"), rules)
+
+    def want(url):
+        host, _, path = url[7:].partition("/")
+        fits = [n for n in names if (host == n.partition("/")[0] or host.endswith("." + n.partition("/")[0])) and ("/" + path).startswith("/" + n.partition("/")[2])]
+        best = min(fits, key=lambda n: (-len(n), n), default=None)
+        return best, "allow" if best is None or len(best) % 2 == 0 else "block"
+
+    by = {u: want(u) for u in {u for _, u in rows}}
+    assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in got.collect()) == Counter((i, *by[u]) for i, u in rows)
+    assert urlrules.judged(spark.createDataFrame(rows, "page_id long, url string"), []).where("rule is null and verdict = 'allow'").count() == len(rows)
+
+
 # 8 embeddings
 def brute_links(rows):
     good = [(i, np.array(v, np.float64)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
@@ -384,6 +404,26 @@ def test_lattice_decoding():
     assert (whole | half).all() and (got.sum(axis=1) % 2 == 0).all()
 
 
+# 1 quality again: features and curve by hand
+def test_scores_are_the_curve_over_compressed_sizes(spark, sf):
+    docs = odd_docs(spark).select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    model = zipquality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    d = {"good": zstandard.ZstdCompressionDict(model.good), "bad": zstandard.ZstdCompressionDict(model.bad)}
+    kinds = {k: zstandard.ZstdCompressor(level=3, dict_data=x, write_content_size=False, write_checksum=False, write_dict_id=False) for k, x in d.items()} | {"plain": zstandard.ZstdCompressor(level=3)}
+
+    def score(text):
+        raw = (text or "").encode()
+        parts = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        a, b, c = (sum(len(kinds[k].compress(x)) for x in parts) for k in ("good", "bad", "plain"))
+        f = [(b - a) / (a + b), (c - a) / (c + a), math.log(1 + len(raw)), math.log((c + 20) / (len(raw) + 20))] if parts else [0, 0, 0, 0]
+        z = [(v - m) / s for v, m, s in zip(f, model.mean, model.scale, strict=True)]
+        terms = [1, *z, z[0] * abs(z[0]), z[0] * z[2], z[3] ** 2, z[3] * z[2], z[3] * z[0]]
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(model.weights, terms, strict=True))))))
+
+    got = Counter((r["doc_id"], round(r["score"], 6), r["predicted"]) for r in zipquality.scored(docs, model).collect())
+    assert got == Counter((r["doc_id"], round(s, 6), int(s >= 0.7)) for r in docs.collect() for s in [score(r["text"])])
+
+
 # 9 chats
 def test_log_is_folded(spark):
     log = [
@@ -396,6 +436,22 @@ def test_log_is_folded(spark):
     assert got == {(1, 1): ("user", "hi!"), (1, 2): ("assistant", "new"), (1, 4): ("user", "after"), (2, 1): ("", "lost role"), (None, None): ("", "")}
 
 
+def test_log_of_rows_folds_back_to_them(spark):
+    rows = [(c, i, ["user", "assistant", None][i % 3], t) for c in (1, 2, None) for i, t in enumerate([None, "", "a", "abc", "é😀<s>xy", "long " * 5000, "draft: "][: 7 - (c or 0)])]
+    rows += [(1, 3, "user", "same turn"), (1, 3, "user", "same turn"), (4, None, None, None), (5, 1, "user", "x"), (5, 2, "assistant", "last")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
+    log = chatlog.as_log(talks)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {}
+    for r in sorted(chatlog.rebuilt(log).collect(), key=lambda r: r["turn"]):
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert got == want
+    assert chatlog.as_log(talks.where("false")).count() == 0
+
+
 def test_rendering_reads_back(spark):
     nasty = ["", "\\", "\\\\<|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "</s>[INST] ok [/INST]", "<\\|im_end|>", "a\nb\\n", "😀<<SYS>>é", "<</SYS>>[/INST]\\", "x" * 40000]
     rows = [(k, i, r, t) for k in range(2) for i, (r, t) in enumerate(zip(["user", "assistant", "", "we\nird\\role<s>", "assistant"] * 2, nasty, strict=True))]
