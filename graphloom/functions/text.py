@@ -169,6 +169,19 @@ def validate_actions(rows: DataFrame) -> DataFrame:
     return rows.select("id", a.alias("a")).withColumn("path", F.element_at("a.args", "path")).select("id", v.alias("violation"))
 
 
+#: Parts of a lower-cased target that only a placeholder holds.
+PLACEHOLDERS = ("absolute path", "file_path", "example.js")
+
+
+def valid_tasks(tasks: DataFrame) -> DataFrame:
+    """Rows of tasks(target_file, description, ...) with both texts, and a target that is a path and no placeholder."""
+    target = F.coalesce("target_file", F.lit(""))
+    holder = F.lit(False)
+    for p in PLACEHOLDERS:
+        holder = holder | F.lower(target).contains(p)
+    return tasks.where((target != "") & (F.coalesce("description", F.lit("")) != "") & ~holder & target.rlike(r"[./\\]"))
+
+
 def trim_payload(text: Column, most_tokens: int = 3500) -> Column:
     """Short texts as they are; long ones by their section marks, their lines, or their ends."""
     marks = F.regexp_count(text, F.lit(r"=== [^=\n]+ ==="))
@@ -200,6 +213,19 @@ def needs_compression(messages: DataFrame, window: int) -> DataFrame:
     return m.select("conv_id", "tokens", (F.col("tokens") > 0.5 * window).alias("compress"))
 
 
+def compression_steps(steps: DataFrame, every: int = 8, least: int = 2000) -> DataFrame:
+    """(session_id, step): where a session is compressed, for steps(session_id, step, length of what may be compressed).
+
+    That is the first step at least `every` after the last compression whose length is over `least`. Only the numbers of
+    a session's long steps meet in one row.
+    """
+    long = steps.where(F.col("length") > least).groupBy("session_id").agg(F.array_sort(F.collect_set(F.col("step").cast("long"))).alias("s"))
+    none = F.array().cast("array<long>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    taken = F.aggregate("s", none, lambda a, x: F.when(x - last(a) >= every, F.concat(a, F.array(x))).otherwise(a))
+    return long.select("session_id", F.explode(taken).alias("step"))
+
+
 def line_changes(pairs: DataFrame) -> DataFrame:
     """(id, line, change, n): lines that one side of pairs(id, old_content, new_content) holds more often, as bags."""
     side = lambda c, d: pairs.select("id", F.explode(F.split(F.coalesce(c, F.lit("")), "\n")).alias("line"), F.lit(d).alias("d"))

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 #: Which kind of node stands for its file.
 KIND_PRIORITY = {"class": 10, "component": 9, "interface": 8, "module": 7, "function": 6, "file": 5}
-#: Node colours of an exported graph, by layer.
-LAYER_COLOR = {"database": "#e74c3c", "backend": "#3498db", "api": "#2ecc71", "frontend": "#9b59b6", "config": "#f39c12", "infrastructure": "#1abc9c"}
+#: In an exported graph, colours of nodes by layer, of edges by kind, of all others, and sizes by kind.
+LAYER_COLOR = {"database": "#f43f5e", "backend": "#0ea5e9", "api": "#10b981", "frontend": "#3b82f6", "config": "#f59e0b", "infrastructure": "#06b6d4"}
+EDGE_COLOR = {"imports": "#3498db", "exports": "#2ecc71", "calls": "#e74c3c", "extends": "#f39c12", "implements": "#9b59b6", "provides": "#1abc9c"}
+OTHER_COLOR = "#94a3b8"
+KIND_SIZE = {
+    "file": 8, "class": 12, "function": 6, "interface": 10, "api_endpoint": 14, "db_table": 14, "component": 10, "module": 12, "type": 6,
+    "hook": 8, "variable": 4, "constant": 4, "enum": 8, "db_column": 4, "db_relation": 6, "package": 10,
+}
+OTHER_SIZE = 6
 
 
 def mapped(c: Column, table: dict, default) -> Column:
@@ -128,10 +135,19 @@ def direct_impact(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFr
     return d.withColumn("rn", F.row_number().over(at)).where(F.col("rn") <= limit).select("file_path", "id")
 
 
-def graph_export(nodes: DataFrame, edges: DataFrame, max_nodes: int, layer: str | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (label, colour, size) of the most connected part of a filtered graph, and the edges among them."""
+def graph_export(nodes: DataFrame, edges: DataFrame, max_nodes: int, layer: str | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges to draw of the most connected part of a filtered graph, and the statistics of the whole graph.
+
+    Nodes: id, label, kind, layer, color, size, file_path. Edges: source, target, label, color.
+    """
     chosen = filter_nodes(nodes, kind=kind, layer=layer)
     inner = induced_edges(chosen, edges)
     top = most_connected(chosen, inner, max_nodes)
-    shown = chosen.join(top, "id").select("id", F.col("name").alias("label"), mapped(F.col("layer"), LAYER_COLOR, "#95a5a6").alias("color"), F.least(F.lit(8) + F.col("degree") * 2, F.lit(40)).alias("size"))
-    return shown, induced_edges(top, inner)
+    shown = chosen.join(top.select("id"), "id").select(
+        "id", F.col("name").alias("label"), "kind", "layer", mapped(F.col("layer"), LAYER_COLOR, OTHER_COLOR).alias("color"),
+        mapped(F.col("kind"), KIND_SIZE, OTHER_SIZE).alias("size"), "file_path",
+    )
+    lines = induced_edges(top, inner).select(
+        F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("label"), mapped(F.col("kind"), EDGE_COLOR, OTHER_COLOR).alias("color")
+    )
+    return shown, lines, graph_stats(nodes, edges)

@@ -42,6 +42,20 @@ def rollback_targets(changes: DataFrame) -> DataFrame:
     return live.groupBy("session_id", "file_path").agg(F.min_by("id", F.struct("applied_at", "id")).alias("first_id"), F.count("*").alias("changes"))
 
 
+def rollback(changes: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes with the active ones among chosen(id) marked as rolled back, and (file_path, restore_content).
+
+    A file is restored to what it was before the first of its chosen changes. chosen may be one id, the ids of a
+    session, or those of latest_change for files; ids that are unknown or rolled back already do nothing.
+    """
+    ids = chosen.select("id").distinct()
+    hit = changes.where("not rolled_back").join(ids, "id", "left_semi")
+    restores = hit.groupBy("file_path").agg(F.min_by("original_content", F.struct("applied_at", "id")).alias("restore_content"))
+    marked = changes.join(ids.withColumn("__chosen", F.lit(True)), "id", "left")
+    marked = marked.withColumn("rolled_back", F.col("rolled_back") | F.col("__chosen").isNotNull()).select(*changes.columns)
+    return marked, restores
+
+
 def session_summary(changes: DataFrame, n: int = 5, newest_rows: int = 300) -> DataFrame:
     """Over the newest active changes: files, changes and latest time of the n newest sessions; files in the order they came."""
     recent = newest(changes.where("not rolled_back"), newest_rows)

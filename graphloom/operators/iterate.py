@@ -134,6 +134,29 @@ def cycles(edges: DataFrame) -> DataFrame:
     return _union(found).groupBy("id").agg(F.min("cycle").alias("cycle"))
 
 
+def cycle_paths(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(cycle, length, path): a shortest cycle through the smallest node of each cyclic group, starting with that node.
+
+    Of several the one with the smaller ids. members is what cycles(edges) gives, if it is at hand; a self-loop is a path
+    of one node. The search ends when every group has its path, however long.
+    """
+    members = written(cycles(edges) if members is None else members)
+    adj = adjacency(edges)
+    a, b = members.select(F.col("id").alias("src"), "cycle"), members.select(F.col("id").alias("dst"), F.col("cycle").alias("other"))
+    inside = written(adj.join(a, "src").join(b, "dst").where("cycle = other").select("cycle", "src", "dst"))
+    live = written(members.select("cycle").distinct().select("cycle", F.col("cycle").alias("at"), F.array("cycle").alias("path")))
+    seen, done = [live.select("cycle", "at")], []
+    while not live.isEmpty():
+        step = live.join(inside, (live["cycle"] == inside["cycle"]) & (live["at"] == inside["src"])).select(live["cycle"], "dst", "path")
+        back = written(step.where("dst = cycle").groupBy("cycle").agg(F.min("path").alias("path")))
+        done.append(back.select("cycle", F.size("path").alias("length"), "path"))
+        on = step.where("dst <> cycle").join(back.select("cycle"), "cycle", "left_anti").groupBy("cycle", F.col("dst").alias("at")).agg(F.min("path").alias("path"))
+        on = on.join(_union(seen), ["cycle", "at"], "left_anti")
+        live = written(on.select("cycle", "at", F.concat("path", F.array("at")).alias("path")))
+        seen.append(live.select("cycle", "at"))
+    return _union(done) if done else live.select("cycle", F.size("path").alias("length"), "path")
+
+
 def critical_paths(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """(seed, path): the shortest backward path of at most `most` nodes to an api or frontend node, then by its ids."""
     adj = written(adjacency(edges))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +88,15 @@ def model_health(calls: DataFrame, start_ms: float = 2000.0) -> DataFrame:
     p = _islands(calls, "provider").select("seq", F.col("consecutive").alias("provider_failures"))
     c = c.join(p, "seq")
     order = F.struct("ts", "seq")
-    agg = c.groupBy("provider", "model").agg(
+    # the smoothed average is a sum with weights 0.3 * 0.7^k, k successes later
+    later = F.row_number().over(Window.partitionBy("provider", "model", "ok").orderBy(F.desc("ts"), F.desc("seq"))) - 1
+    weighted = F.when(F.col("ok"), F.col("latency_ms") * 0.3 * F.pow(F.lit(0.7), later))
+    agg = c.withColumn("weighted", weighted).groupBy("provider", "model").agg(
         F.max_by(F.struct("ok", "error", "consecutive", "provider_failures"), order).alias("l"),
-        # the smoothed average is a sum with weights 0.3 * 0.7^k, k successes later; far ones vanish
-        F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("ts", "seq", "latency_ms")))).alias("h"),
+        F.coalesce(F.sum("weighted"), F.lit(0.0)).alias("recent"),
+        F.count_if("ok").alias("successes"),
     )
-    ewma = F.aggregate("h", F.lit(start_ms), lambda a, x: a * 0.7 + x["latency_ms"] * 0.3)
+    ewma = F.lit(start_ms) * F.pow(F.lit(0.7), F.col("successes")) + F.col("recent")
     n, limited = F.col("l.consecutive"), _has(F.col("l.error"), ("rate limit", "429"))
     missing = _has(F.col("l.error"), ("model not found", "404"))
     status = F.when(F.col("l.ok"), "HEALTHY").when(limited, "COOLDOWN").when(missing, "FAILED").otherwise("DEGRADED")
@@ -136,6 +141,23 @@ def session_metrics(steps: DataFrame, price: float = 5e-7) -> DataFrame:
     )
 
 
+#: Words in a session's task list that tell of a regression.
+REGRESSION_WORDS = ("test fail", "regression")
+
+
+def session_outcomes(sessions: DataFrame, steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(session_id, success_rate, regression) of sessions(session_id, success, outage) and tasks(session_id, text).
+
+    A session without steps has rate 1 if it succeeded, else 0. An outage, or a task that speaks of a regression, is one.
+    """
+    rate = steps.groupBy("session_id").agg(F.avg(F.col("success").cast("double")).alias("rate"))
+    told = F.max(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in REGRESSION_WORDS])).alias("told")
+    out = sessions.join(rate, "session_id", "left").join(tasks.groupBy("session_id").agg(told), "session_id", "left")
+    plain = F.coalesce(F.col("success").cast("double"), F.lit(0.0))
+    flag = F.coalesce("outage", F.lit(False)) | F.coalesce("told", F.lit(False))
+    return out.select("session_id", F.round(F.coalesce("rate", plain), 6).alias("success_rate"), flag.alias("regression"))
+
+
 def underperforming_profiles(metrics: DataFrame, least: int = 5, below: float = 0.6) -> DataFrame:
     m = metrics.groupBy("task_profile").agg(F.count("*").alias("sessions"), F.avg("success_rate").alias("r"))
     return m.select("task_profile", "sessions", F.round("r", 6).alias("success_rate"), ((F.col("sessions") >= least) & (F.col("r") < below)).alias("raise_tier"))
@@ -184,6 +206,20 @@ def modification_confidence(steps: DataFrame) -> DataFrame:
     return steps.select("session_id", "step", "tool", F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), c)), 6).alias("confidence")).where(F.col("tool").isin(*WRITES)).drop("tool")
 
 
+def provider_order(calls: DataFrame, tiers: dict[str, int], configured: str | None = None) -> DataFrame:
+    """(provider, rank): healthy providers of the pool, the configured one first, then by tier and by falling weight.
+
+    Health is that after a provider's last call; one that was never called is healthy with weight 1.
+    """
+    h = provider_health(calls).join(calls.select("seq", "ts"), "seq")
+    last = h.groupBy("provider").agg(F.max_by("weight", F.struct("ts", "seq")).alias("weight"))
+    pool = calls.sparkSession.createDataFrame(list(tiers.items()), "provider string, tier int")
+    p = pool.join(last, "provider", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("weight > 0")
+    first = F.desc(F.col("provider").eqNullSafe(F.lit(configured)))
+    at = Window.orderBy(first, "tier", F.desc("weight"), "provider")  # as many rows as the pool has providers
+    return p.select("provider", F.row_number().over(at).alias("rank"))
+
+
 def model_order(health: DataFrame, tiers: dict[str, int]) -> DataFrame:
     """provider, model, rank: by score less 20 for each tier; if ranks 1 and 2 share a provider, the best of another moves to 2."""
     tier = F.lit(0)
@@ -249,3 +285,14 @@ def task_outcomes(tasks: DataFrame, results: DataFrame, least: float) -> DataFra
     pending = tasks.join(results.select("task_id").distinct(), "task_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("pending"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return done.join(pending, "session_id", "full_outer").select("session_id", *(z(c) for c in ("pending", "applied", "low_confidence", "failed", "skipped")))
+
+
+def remaining_errors(results: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """(session_id, files, errors): files that a session's applied results touch, and the errors left in them.
+
+    results(session_id, file_path, status), diagnostics(file, errors) by file. A file counts once for each session.
+    """
+    files = results.where("status = 'applied'").select("session_id", "file_path").distinct()
+    e = diagnostics.groupBy(F.col("file").alias("file_path")).agg(F.sum("errors").alias("errors"))
+    left = F.coalesce(F.sum("errors"), F.lit(0)).alias("errors")
+    return files.join(e, "file_path", "left").groupBy("session_id").agg(F.count("*").alias("files"), left)

@@ -115,14 +115,24 @@ def _(spark, sf):
     return g.direct_impact(*_g(spark, sf))
 
 
-@_q("s19_graph_export", """WITH inner_e AS (SELECT e.* FROM g_edges e JOIN g_nodes s ON s.id = src JOIN g_nodes t ON t.id = dst), a AS (SELECT DISTINCT src, dst FROM inner_e),
+_TOP = """WITH inner_e AS (SELECT e.* FROM g_edges e JOIN g_nodes s ON s.id = src JOIN g_nodes t ON t.id = dst), a AS (SELECT DISTINCT src, dst FROM inner_e),
 d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM a UNION ALL SELECT dst FROM a) x GROUP BY id),
-t AS (SELECT n.*, coalesce(degree, 0) AS degree FROM g_nodes n LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 200)
-SELECT id, name AS label, CASE layer WHEN 'database' THEN '#e74c3c' WHEN 'backend' THEN '#3498db' WHEN 'api' THEN '#2ecc71' WHEN 'frontend' THEN '#9b59b6' WHEN 'config' THEN '#f39c12' ELSE '#1abc9c' END AS color, least(8 + degree * 2, 40) AS size FROM t""")
+t AS (SELECT n.* FROM g_nodes n LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 200)"""
+
+
+@_q("s19_graph_export", f"""{_TOP}
+SELECT id, name AS label, kind, layer, CASE layer WHEN 'database' THEN '#f43f5e' WHEN 'backend' THEN '#0ea5e9' WHEN 'api' THEN '#10b981' WHEN 'frontend' THEN '#3b82f6' WHEN 'config' THEN '#f59e0b' ELSE '#06b6d4' END AS color,
+ CASE kind WHEN 'file' THEN 8 WHEN 'class' THEN 12 WHEN 'function' THEN 6 WHEN 'interface' THEN 10 WHEN 'component' THEN 10 ELSE 12 END AS size, file_path FROM t""")
 def _(spark, sf):
     return g.graph_export(*_g(spark, sf), 200)[0]
 
 
+@_q("s19_export_edges", f"""{_TOP}
+SELECT src AS source, dst AS target, kind AS label, CASE kind WHEN 'imports' THEN '#3498db' WHEN 'provides' THEN '#1abc9c' ELSE '#94a3b8' END AS color FROM g_edges WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""")
+def _(spark, sf):
+    return g.graph_export(*_g(spark, sf), 200)[1]
+
+
 @_q("g1_reach", """WITH RECURSIVE r AS (SELECT id AS seed, id AS node, 0 AS depth FROM g_nodes WHERE kind IN ('class', 'interface')
 UNION SELECT seed, src, depth + 1 FROM r JOIN g_edges ON dst = node WHERE depth < 2)
 SELECT seed, node, min(depth) AS depth FROM r WHERE node <> seed GROUP BY seed, node""")
@@ -154,6 +164,15 @@ def _(spark, sf):
     return it.cycles(view(spark, sf, "cyc_edges"))
 
 
+@query("g4_cycle_paths", sql("""WITH RECURSIVE r AS (SELECT src AS a, dst AS b FROM cyc_edges UNION SELECT a, dst FROM r JOIN cyc_edges ON src = b),
+m AS (SELECT x.a AS id, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+i AS (SELECT e.src, e.dst, s.cycle FROM cyc_edges e JOIN m s ON s.id = e.src JOIN m t ON t.id = e.dst AND t.cycle = s.cycle),
+b AS (SELECT cycle, dst AS pos, 1 AS n FROM i WHERE src = cycle UNION SELECT b.cycle, i.dst, n + 1 FROM b JOIN i ON i.cycle = b.cycle AND i.src = b.pos WHERE b.pos <> b.cycle AND n < 40)
+SELECT cycle, CAST(min(n) AS INTEGER) AS length FROM b WHERE pos = cycle GROUP BY cycle""", "cyc_edges"))
+def _(spark, sf):
+    return it.cycle_paths(view(spark, sf, "cyc_edges")).select("cycle", "length")
+
+
 @_q("g5_topological_levels", """WITH RECURSIVE l AS (SELECT id, 0 AS level FROM g_nodes UNION SELECT src, level + 1 FROM l JOIN g_edges ON dst = id),
 m AS (SELECT id, max(level) AS level FROM l GROUP BY id) SELECT 1 AS grp, id, level, row_number() OVER (ORDER BY level, id) AS position FROM m""")
 def _(spark, sf):
@@ -202,6 +221,14 @@ def _(spark, sf):
     return blast.plan_report(written(_plan(spark, sf)), *_g(spark, sf))
 
 
+@_q("g8_plan_warnings", f"""{_PLAN}, c AS (SELECT DISTINCT s.file_path AS a, t.file_path AS b, s.name || ' (' || s.layer || ') -> ' || t.name || ' (' || t.layer || ')' AS warning FROM g_edges JOIN g_nodes s ON s.id = src JOIN g_nodes t ON t.id = dst WHERE s.layer <> t.layer)
+SELECT plan_id, warning FROM (SELECT DISTINCT p.plan_id, warning FROM plan p JOIN c ON a = p.file_path JOIN plan q ON q.plan_id = p.plan_id AND q.file_path = b) x QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY warning) <= 10""")
+def _(spark, sf):
+    from graphloom.tables import written
+
+    return blast.plan_warnings(written(_plan(spark, sf)), *_g(spark, sf))
+
+
 @_q("g11_critical_paths", """WITH RECURSIVE r AS (SELECT id AS seed, id AS cur, [id] AS path FROM g_nodes WHERE layer IN ('config', 'infrastructure', 'database')
 UNION ALL SELECT seed, src, list_append(path, src) FROM r JOIN (SELECT DISTINCT src, dst FROM g_edges) e ON dst = cur WHERE len(path) < 5 AND NOT list_contains(path, src) AND (SELECT layer FROM g_nodes WHERE id = cur) NOT IN ('api', 'frontend')),
 h AS (SELECT seed, path, len(path) AS n FROM r JOIN g_nodes ON id = cur WHERE layer IN ('api', 'frontend') AND n > 1)

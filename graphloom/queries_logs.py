@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import sql, view
+from graphloom.functions import text as x
 from graphloom.operators import history as h
 from graphloom.operators import telemetry as t
 from graphloom.registry import query
@@ -156,8 +158,6 @@ def _(spark, sf):
 @_q("w12_diversify", """WITH r AS (SELECT provider, model, CAST(row_number() OVER (ORDER BY provider, count(*) DESC, model) AS INTEGER) AS r FROM calls GROUP BY provider, model),
 o AS (SELECT min(r) AS o FROM r WHERE provider <> 'p0') SELECT provider, model, CAST(CASE WHEN r = o THEN 2 WHEN r >= 2 AND r < o THEN r + 1 ELSE r END AS INTEGER) AS rank FROM r, o""", "calls")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     n = view(spark, sf, "calls").groupBy("provider", "model").count()
     return t.diversify(n.select("provider", "model", F.row_number().over(Window.orderBy("provider", F.desc("count"), "model")).alias("rank")))
 
@@ -240,3 +240,61 @@ def _(spark, sf):
     c = view(spark, sf, "changes")
     done = c.where("cast(id as bigint) % 5 <> 0").select("session_id", F.col("id").alias("task_id"), F.when(F.col("rolled_back"), "failed").when(F.col("confidence") < 0.1, "skipped").otherwise("applied").alias("status"), "confidence")
     return t.task_outcomes(c.select("session_id", F.col("id").alias("task_id")), done, 0.3)
+
+
+@_q("t9_rollback_restores", """WITH c AS (SELECT *, 'before ' || id AS original_content, row_number() OVER (PARTITION BY file_path ORDER BY applied_at DESC, id DESC) AS rn FROM changes WHERE NOT rolled_back)
+SELECT file_path, original_content AS restore_content FROM c WHERE rn = 1""", "changes")
+def _(spark, sf):
+    c = view(spark, sf, "changes").withColumn("original_content", F.concat(F.lit("before "), "id"))
+    return h.rollback(c, h.latest_change(c).select("id"))[1]
+
+
+@_q("t9_rolled_back", """SELECT id, rolled_back OR coalesce(session_id = (SELECT min(session_id) FROM changes), false) AS rolled_back FROM changes""", "changes")
+def _(spark, sf):
+    c = view(spark, sf, "changes").withColumn("original_content", F.lit(None).cast("string"))
+    first = c.agg(F.min("session_id").alias("session_id"))
+    return h.rollback(c, c.join(first, "session_id").select("id"))[0].select("id", "rolled_back")
+
+
+@_q("a9_session_outcomes", """WITH r AS (SELECT session_id, avg(CAST(success AS INTEGER)) AS rate FROM steps WHERE tool <> 'run_shell' GROUP BY session_id),
+s AS (SELECT session_id, bool_or(success) AS success, bool_or(tool = 'patch_file' AND NOT success) AS outage, bool_or(tool = 'run_shell') AS told FROM steps GROUP BY session_id)
+SELECT session_id, round(coalesce(rate, CAST(success AS INTEGER)), 6) AS success_rate, outage OR told AS regression FROM s LEFT JOIN r USING (session_id)""", "steps")
+def _(spark, sf):
+    s = view(spark, sf, "steps")
+    sessions = s.groupBy("session_id").agg(F.bool_or("success").alias("success"), F.bool_or((F.col("tool") == "patch_file") & ~F.col("success")).alias("outage"))
+    tasks = s.select("session_id", F.when(F.col("tool") == "run_shell", F.concat(F.lit("regression in "), "path")).otherwise(F.concat(F.lit("edit "), "path")).alias("text"))
+    return t.session_outcomes(sessions, s.where("tool <> 'run_shell'"), tasks)
+
+
+@_q("t8_provider_order", f"""{_HEALTH}, l AS (SELECT provider, max_by(CASE WHEN status = 'CIRCUIT_BROKEN' OR cooldown_ms IS NOT NULL THEN 0 ELSE greatest(0.1, round(rate, 6) - consecutive * 0.2) END, row(ts, seq)) AS weight FROM s GROUP BY provider),
+p AS (SELECT 'p' || i AS provider, CASE WHEN i < 3 THEN 1 ELSE 2 END AS tier FROM range(0, 5) r(i))
+SELECT provider, row_number() OVER (ORDER BY provider <> 'p3', tier, coalesce(weight, 1) DESC, provider) AS rank FROM p LEFT JOIN l USING (provider) WHERE coalesce(weight, 1) > 0""", "calls")
+def _(spark, sf):
+    return t.provider_order(view(spark, sf, "calls"), {"p0": 1, "p1": 1, "p2": 1, "p3": 2, "p4": 2}, "p3")
+
+
+@_q("a21_remaining_errors", """WITH a AS (SELECT DISTINCT session_id, file_path FROM changes WHERE NOT rolled_back), e AS (SELECT file_path, count(*) AS n FROM failures GROUP BY file_path)
+SELECT session_id, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS errors FROM a LEFT JOIN e ON e.file_path = '/src/f' || regexp_extract(a.file_path, 'f([0-9]+)', 1) || '.ts' GROUP BY session_id""", "changes", "failures")
+def _(spark, sf):
+    number = F.regexp_extract("file_path", "f([0-9]+)", 1)
+    results = view(spark, sf, "changes").select("session_id", F.concat(F.lit("/src/f"), number, F.lit(".ts")).alias("file_path"), F.when(F.col("rolled_back"), "failed").otherwise("applied").alias("status"))
+    return t.remaining_errors(results, view(spark, sf, "failures").groupBy(F.col("file_path").alias("file")).agg(F.count("*").alias("errors")))
+
+
+@_q("w8_compression_steps", """WITH RECURSIVE l AS (SELECT session_id, step FROM (SELECT session_id, step, sum(tokens) OVER (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS n FROM steps) x WHERE n > 20),
+c AS (SELECT session_id, min(step) AS step FROM l WHERE step >= 2 GROUP BY session_id
+UNION ALL SELECT session_id, step FROM (SELECT l.session_id, l.step, row_number() OVER (PARTITION BY l.session_id ORDER BY l.step) AS rn FROM c JOIN l ON l.session_id = c.session_id AND l.step >= c.step + 2) y WHERE rn = 1)
+SELECT session_id, step FROM c""", "steps")
+def _(spark, sf):
+    upto = Window.partitionBy("session_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    s = view(spark, sf, "steps").select("session_id", "step", F.sum("tokens").over(upto).alias("length"))
+    return x.compression_steps(s, 2, 20)
+
+
+@_q("d3_valid_tasks", """WITH t AS (SELECT id, CASE CAST(id AS BIGINT) % 7 WHEN 0 THEN '' WHEN 1 THEN '/src/Example.js' WHEN 2 THEN 'Absolute Path here' WHEN 3 THEN 'src' || chr(92) || 'a' WHEN 4 THEN 'name' WHEN 5 THEN NULL ELSE file_path END AS target_file, CASE WHEN rolled_back THEN '' ELSE provider END AS description FROM changes)
+SELECT id, target_file FROM t WHERE description <> '' AND CAST(id AS BIGINT) % 7 IN (3, 6)""", "changes")
+def _(spark, sf):
+    k = F.col("id").cast("long") % 7
+    target = F.when(k == 0, "").when(k == 1, "/src/Example.js").when(k == 2, "Absolute Path here").when(k == 3, "src\\a").when(k == 4, "name").when(k == 5, None).otherwise(F.col("file_path"))
+    tasks = view(spark, sf, "changes").select("id", target.alias("target_file"), F.when(F.col("rolled_back"), "").otherwise(F.col("provider")).alias("description"))
+    return x.valid_tasks(tasks).select("id", "target_file")

@@ -364,7 +364,8 @@ _PROP = f"""WITH RECURSIVE {_FC}, st AS (SELECT cc.id AS change_id, cc.file_path
 rr AS (SELECT id AS seed, id AS node, 0 AS depth FROM g_nodes UNION SELECT seed, src, depth + 1 FROM rr JOIN g_edges ON dst = node WHERE depth < 9),
 rd AS (SELECT seed, node, min(depth) AS depth FROM rr WHERE depth > 0 GROUP BY seed, node),
 hit AS (SELECT st.*, node, depth, t.layer, least(3, CASE depth WHEN 1 THEN base WHEN 2 THEN greatest(0, base - 1) ELSE greatest(0, base - 2) END + CASE WHEN is_type AND depth <= 3 THEN 1 ELSE 0 END) AS s1 FROM st JOIN rd ON seed = st.id JOIN g_nodes t ON t.id = node WHERE t.file_path <> st.file_path),
-pr AS (SELECT change_id, node AS id, min(depth) AS depth, max(least(3, least(3, s1 + CASE WHEN is_schema AND depth <= 2 THEN 1 ELSE 0 END) + CASE WHEN is_api AND from_layer <> layer THEN 1 ELSE 0 END)) AS severity FROM hit GROUP BY ALL)"""
+pr AS (SELECT change_id, node AS id, min(depth) AS depth, max(s2) AS severity, min_by(id, row(-s2, depth, id)) AS via FROM (
+ SELECT *, least(3, least(3, s1 + CASE WHEN is_schema AND depth <= 2 THEN 1 ELSE 0 END) + CASE WHEN is_api AND from_layer <> layer THEN 1 ELSE 0 END) AS s2 FROM hit) h2 GROUP BY change_id, node)"""
 
 
 def _impact(spark, sf):
@@ -378,6 +379,15 @@ def _(spark, sf):
     return _impact(spark, sf)[1]
 
 
+@_q("g10_impact_notes", f"""{_PROP} SELECT change_id, pr.id, replace(CASE WHEN depth = 1 THEN 'Directly depends on changed ' || v.kind || ' `' || v.name || '` (' || scopes || ')' ELSE 'Transitively affected by ' || v.kind || ' `' || v.name || '` change at depth ' || depth || ' (' || scopes || ')' END, '`', chr(39)) AS reason,
+ replace(CASE WHEN is_type THEN 'Review type compatibility in `' || n.name || '` — types from `' || v.name || '` may have changed' WHEN is_schema THEN 'Update data access layer in `' || n.name || '` to match new schema' WHEN is_api THEN 'Verify API contract alignment in `' || n.name || '`'
+  WHEN is_config THEN 'Check configuration references in `' || n.name || '`' ELSE 'Review `' || n.name || '` for compatibility with changes in `' || v.name || '`' END, '`', chr(39)) AS action
+FROM pr JOIN cc ON cc.id = change_id JOIN g_nodes n ON n.id = pr.id JOIN g_nodes v ON v.id = via""", "g_nodes", "g_edges")
+def _(spark, sf):
+    c, i, n, _ = _impact(spark, sf)
+    return im.impact_notes(c, i, n)
+
+
 _COV = "cov AS (SELECT change_id, CAST(floor(100 * avg(CASE WHEN id IN (SELECT dst FROM g_edges WHERE kind = 'tests') THEN CAST(1 AS DOUBLE) ELSE 0 END) + 0.5) AS BIGINT) AS percent FROM pr GROUP BY change_id)"
 
 
@@ -407,6 +417,14 @@ def _(spark, sf):
     return im.update_tasks(i, n)
 
 
+@_q("c9_sync_tasks", f"""{_PROP}, j AS (SELECT pr.change_id, pr.id, n.layer, n.file_path, c.is_schema, c.is_api FROM pr JOIN g_nodes n ON n.id = pr.id JOIN cc c ON c.id = pr.change_id),
+z AS (SELECT change_id, id, file_path, 'database' AS source_layer, layer AS target_layer, CASE WHEN layer = 'frontend' THEN 5 ELSE 8 END AS priority FROM j WHERE is_schema AND layer IN ('backend', 'api', 'frontend') UNION ALL SELECT change_id, id, file_path, 'api', layer, 8 FROM j WHERE is_api AND layer = 'frontend')
+SELECT change_id, source_layer, target_layer, file_path, min(id) AS id, priority FROM z GROUP BY ALL""", "g_nodes", "g_edges")
+def _(spark, sf):
+    c, i, n, _ = _impact(spark, sf)
+    return im.sync_tasks(im.cross_layer_issues(c, i, n), i, n)
+
+
 @_q("j10_impacted_tests", """WITH RECURSIVE rr AS (SELECT file_path AS change_id, id AS node, 0 AS depth FROM g_nodes WHERE layer IN ('api', 'database') UNION SELECT change_id, src, depth + 1 FROM rr JOIN g_edges ON dst = node WHERE depth < 6)
 SELECT DISTINCT change_id, file_path FROM rr JOIN g_nodes ON id = node WHERE depth > 0 AND contains(file_path, '.test.ts')
 UNION SELECT t.file_path, n.file_path FROM g_edges e JOIN g_nodes n ON n.id = e.src JOIN g_nodes t ON t.id = e.dst WHERE e.kind = 'tests'""", "g_nodes", "g_edges")

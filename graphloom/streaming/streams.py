@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphloom.operators.history import signed
+from graphloom.operators.impact import classify_changes, impact_reports, propagate
+from graphloom.plans.blast import plan_from_files
+from graphloom.tables import written
 
 
 def debounce(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -23,43 +26,64 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10
     return g.select("file_path", "e.id", "e.ts", "events")
 
 
-def suppress_noops(changes: DataFrame) -> DataFrame:
+def _millis(length: str) -> int:
+    return int(pd.Timedelta(length).total_seconds() * 1000)
+
+
+def suppress_noops(changes: DataFrame, late: str = "10 minutes", forget: str = "30 days") -> DataFrame:
     """(file_path, id, old_content, new_content): events whose content differs from the file's last seen one.
 
     On a batch by lag; on a stream by a state with the last content for each file, events of a batch ordered by (ts, id).
+    A file that no event names for `forget` of event time is forgotten; its next event counts as its first.
     """
     if not changes.isStreaming:
         w = Window.partitionBy("file_path").orderBy("ts", "id")
         c = changes.withColumn("old_content", F.lag("content").over(w))
         return c.where(~F.col("old_content").eqNullSafe(F.col("content")) | F.col("old_content").isNull()).select("file_path", "id", "old_content", F.col("content").alias("new_content"))
 
+    keep = _millis(forget)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-            if last is None or r.content != last:
-                rows.append((key[0], r.id, last, r.content))
-            last = r.content
-        state.update((last,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
+                if last is None or r.content != last:
+                    rows.append((key[0], r.id, last, r.content))
+                last, at = r.content, int(r.ts.timestamp() * 1000)
+            state.update((last,))
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + keep)
         yield pd.DataFrame(rows, columns=["file_path", "id", "old_content", "new_content"])
 
     kind = "file_path string, id string, old_content string, new_content string"
-    return changes.groupBy("file_path").applyInPandasWithState(step, kind, "last string", "append", GroupStateTimeout.NoTimeout)
+    grouped = changes.withWatermark("ts", late).groupBy("file_path")
+    return grouped.applyInPandasWithState(step, kind, "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def health_stream(calls: DataFrame) -> DataFrame:
-    """(provider, seq, consecutive): failures since the last success, as calls arrive."""
+def health_stream(calls: DataFrame, late: str = "10 minutes", forget: str = "30 days") -> DataFrame:
+    """(provider, seq, consecutive): failures since the last success, as calls arrive.
+
+    A provider without calls for `forget` of event time starts anew.
+    """
+    keep = _millis(forget)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
         rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
-            n = 0 if r.ok else n + 1
-            rows.append((key[0], r.seq, n))
-        state.update((n,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+                n, at = 0 if r.ok else n + 1, int(r.ts.timestamp() * 1000)
+                rows.append((key[0], r.seq, n))
+            state.update((n,))
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + keep)
         yield pd.DataFrame(rows, columns=["provider", "seq", "consecutive"])
 
-    return calls.groupBy("provider").applyInPandasWithState(step, "provider string, seq long, consecutive long", "n long", "append", GroupStateTimeout.NoTimeout)
+    grouped = calls.withWatermark("ts", late).groupBy("provider")
+    return grouped.applyInPandasWithState(step, "provider string, seq long, consecutive long", "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stalled_stream(heartbeats: DataFrame, silence_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
@@ -84,14 +108,52 @@ def stalled_stream(heartbeats: DataFrame, silence_ms: int = 60_000, late: str =
     return heartbeats.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(step, "task_id string, seq long", "ms long, seq long, active boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def failure_stream(failures: DataFrame, alert_from: int = 3) -> DataFrame:
-    """Batch or stream (update mode): frequency of each signature, and whether it is alarming."""
-    return signed(failures).groupBy("signature").agg(F.count("*").alias("frequency"), F.max("ts").alias("last_at")).withColumn("alert", F.col("frequency") >= alert_from)
+def _counted(rows: DataFrame, *keys: str, late: str, forget: str) -> DataFrame:
+    """Stream in update mode: keys, n rows so far, last_at; a key without rows for `forget` of event time starts anew."""
+    keep, names = _millis(forget), [*keys, "n", "last_at"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, 0)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for b in batches:
+                n, last = n + len(b), max(last, int(b["ts"].max().timestamp() * 1000))
+            state.update((n, last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
+            out.append((*key, n, pd.Timestamp(last, unit="ms")))
+        yield pd.DataFrame(out, columns=names)
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    grouped = rows.withWatermark("ts", late).groupBy(*keys)
+    return grouped.applyInPandasWithState(step, f"{kinds}, n long, last_at timestamp", "n long, ms long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def failure_stream(failures: DataFrame, alert_from: int = 3, late: str = "10 minutes", forget: str = "30 days") -> DataFrame:
+    """Batch or stream (update mode): frequency of each signature, and whether it is alarming.
+
+    On a stream last_at is cut to milliseconds, and a signature that did not come up for `forget` of event time starts anew.
+    """
+    f = signed(failures)
+    if f.isStreaming:
+        n = _counted(f, "signature", late=late, forget=forget).withColumnRenamed("n", "frequency")
+    else:
+        n = f.groupBy("signature").agg(F.count("*").alias("frequency"), F.max("ts").alias("last_at"))
+    return n.withColumn("alert", F.col("frequency") >= alert_from)
 
 
-def step_alerts(steps: DataFrame, times: int = 3) -> DataFrame:
-    """Batch or stream (update mode): tools called on one path `times` times or more in a session."""
-    return steps.groupBy("session_id", "tool", "path").agg(F.count("*").alias("n")).where(F.col("n") >= times)
+def step_alerts(steps: DataFrame, times: int = 3, late: str = "10 minutes", forget: str = "1 day") -> DataFrame:
+    """Batch or stream (update mode): tools called on one path `times` times or more in a session.
+
+    On a stream with ts, a session's tool and path without calls for `forget` of event time start anew; a stream without
+    ts keeps its counts for good.
+    """
+    if steps.isStreaming and "ts" in steps.columns:
+        n = _counted(steps, "session_id", "tool", "path", late=late, forget=forget).drop("last_at")
+    else:
+        n = steps.groupBy("session_id", "tool", "path").agg(F.count("*").alias("n"))
+    return n.where(F.col("n") >= times)
 
 
 def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, int], Any], glob: str = "*", per_batch: int = 200):
@@ -113,3 +175,25 @@ def watch(changes: DataFrame, checkpoint: str, each: Callable[[DataFrame], DataF
         each(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_impact(changes: DataFrame, nodes: DataFrame, edges: DataFrame, checkpoint: str, out: str):
+    """Starts writing an impact report for every change(id, file_path, old_content, new_content) that touches anything."""
+
+    def reports(batch: DataFrame) -> DataFrame:
+        c = written(classify_changes(batch))
+        return impact_reports(c, written(propagate(c, nodes, edges)), nodes, edges)
+
+    return watch(changes, checkpoint, reports, out)
+
+
+def watch_blast_radius(changes: DataFrame, nodes: DataFrame, edges: DataFrame, checkpoint: str, out: str, top: int = 12):
+    """Starts writing, for every change(id, file_path), the first `top` files of its plan other than its own."""
+
+    def plans(batch: DataFrame) -> DataFrame:
+        roots = batch.select(F.col("id").alias("plan_id"), F.col("file_path").alias("root_file")).distinct()
+        p = plan_from_files(roots, nodes, edges).where("not is_root")
+        at = Window.partitionBy("plan_id").orderBy("position")
+        return p.withColumn("place", F.row_number().over(at)).where(F.col("place") <= top).select("plan_id", "place", "file_path", "layer", "reason")
+
+    return watch(changes, checkpoint, plans, out)

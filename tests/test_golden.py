@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as x
 from graphloom.operators import graph as g
+from graphloom.operators import history as h
+from graphloom.operators import impact as im
 from graphloom.operators import iterate as it
 from graphloom.operators import mining as mi
 from graphloom.operators import retrieval as r
@@ -169,3 +171,67 @@ def test_hybrid_search_takes_2k_keyword_hits(spark):
     q = spark.createDataFrame([(0, "alpha", [1.0, 0.0])], "query_id long, text string, vector array<double>")
     got = {row["rank"]: (row["id"], row["score"]) for row in r.hybrid_search(q, c, 5).collect()}
     assert got == {1: (8, round(1 / 61 + 1 / 68, 9)), 2: (7, round(1 / 62 + 1 / 67, 9)), 3: (1, round(1 / 61, 9)), 4: (2, round(1 / 62, 9)), 5: (3, round(1 / 63, 9))}
+
+
+def test_cycle_paths(spark):
+    e = spark.createDataFrame([(1, 3), (3, 1), (1, 2), (2, 1), (4, 5), (5, 6), (6, 7), (7, 4), (5, 7), (9, 9), (9, 1)], "src long, dst long")
+    assert [(r["cycle"], r["length"], r["path"]) for r in it.cycle_paths(e).orderBy("cycle").collect()] == [(1, 2, [1, 2]), (4, 3, [4, 5, 7]), (9, 1, [9])]
+    assert it.cycle_paths(e.where("src > 100")).count() == 0
+
+
+def test_plan_lists(spark):
+    n = spark.createDataFrame([("a", "class", "A", "/a.ts", "backend"), ("b", "class", "B", "/b.ts", "api"), ("c", "class", "C", "/c.ts", "api"), ("d", "class", "D", "/d.ts", "api")], "id string, kind string, name string, file_path string, layer string")
+    e = spark.createDataFrame([("a", "b", "imports"), ("b", "a", "calls"), ("b", "c", "imports"), ("c", "d", "imports"), ("d", "c", "imports")], "src string, dst string, kind string")
+    plan = spark.createDataFrame([(1, "/a.ts"), (1, "/b.ts"), (1, "/c.ts"), (2, "/c.ts"), (2, "/d.ts")], "plan_id int, file_path string")
+    assert rows(blast.plan_warnings(plan, n, e)) == [(1, "A (backend) -> B (api)"), (1, "B (api) -> A (backend)")]
+    assert rows(blast.plan_cycles(plan, n, e)) == [(1, "A -> B"), (2, "C -> D")]
+
+
+def test_impact_lists_and_tasks(spark):
+    n = spark.createDataFrame([("t", "db_table", "users", "/db/schema.sql", "database"), ("u", "class", "Users", "/svc/u.ts", "backend"), ("p", "component", "Page", "/ui/p.tsx", "frontend")], "id string, kind string, name string, file_path string, layer string")
+    e = spark.createDataFrame([("u", "t", "imports"), ("p", "u", "imports")], "src string, dst string, kind string")
+    c = im.classify_changes(spark.createDataFrame([("1", "/db/schema.sql", "a", "ALTER TABLE users")], "id string, file_path string, old_content string, new_content string"))
+    i = im.propagate(c, n, e)
+    assert rows(i, "id", "depth", "severity", "via") == [("p", 2, 2, "t"), ("u", 1, 3, "t")]
+    assert rows(im.impact_notes(c, i, n), "id", "reason", "action") == [
+        ("p", "Transitively affected by db_table 'users' change at depth 2 (schema)", "Update data access layer in 'Page' to match new schema"),
+        ("u", "Directly depends on changed db_table 'users' (schema)", "Update data access layer in 'Users' to match new schema"),
+    ]
+    got = im.impact_lists(c, i, n, e).first()
+    assert (got["files"], got["issues"], got["critical_path"]) == (["/svc/u.ts", "/ui/p.tsx"], ["database -> backend (major)", "database -> frontend (minor)"], ["t", "u", "p"])
+    assert rows(im.sync_tasks(im.cross_layer_issues(c, i, n), i, n), "file_path", "id", "priority") == [("/svc/u.ts", "u", 8), ("/ui/p.tsx", "p", 5)]
+
+
+def test_rollback(spark):
+    at = lambda sec: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=sec)
+    c = spark.createDataFrame([("1", "/a", at(1), False, "a0"), ("2", "/a", at(2), False, "a1"), ("3", "/b", at(3), True, "b0"), ("4", "/b", at(4), False, None)], "id string, file_path string, applied_at timestamp, rolled_back boolean, original_content string")
+    chosen = spark.createDataFrame([("1",), ("2",), ("2",), ("3",), ("9",)], "id string")
+    marked, restores = h.rollback(c, chosen)
+    assert rows(marked, "id", "rolled_back") == [("1", True), ("2", True), ("3", True), ("4", False)]
+    assert rows(restores) == [("/a", "a0")]
+    assert h.rollback(c, chosen.limit(0))[1].count() == 0
+
+
+def test_compression_steps(spark):
+    s = spark.createDataFrame([("s", i, 3000 if i >= 10 else 100) for i in range(1, 30)] + [("t", i, 10) for i in range(1, 20)], "session_id string, step int, length int")
+    assert rows(x.compression_steps(s)) == [("s", 10), ("s", 18), ("s", 26)]
+
+
+def test_valid_tasks(spark):
+    t = spark.createDataFrame([(1, "a/b", "d"), (2, "x.py", "d"), (3, "name", "d"), (4, "", "d"), (5, None, "d"), (6, "a.ts", ""), (7, "Example.JS", "d"), (8, "c:\\x", "d"), (9, "<absolute path>/a.ts", "d")], "id int, target_file string, description string")
+    assert rows(x.valid_tasks(t), "id") == [(1,), (2,), (8,)]
+
+
+def test_session_outcomes_without_steps(spark):
+    s = spark.createDataFrame([("a", True, False), ("b", False, True), ("c", None, None)], "session_id string, success boolean, outage boolean")
+    none = spark.createDataFrame([], "session_id string, success boolean")
+    tasks = spark.createDataFrame([("a", "fix the test failing"), ("c", "write docs"), ("c", None)], "session_id string, text string")
+    assert rows(t.session_outcomes(s, none, tasks)) == [("a", 1.0, True), ("b", 0.0, True), ("c", 0.0, False)]
+
+
+def test_provider_order(spark):
+    at = lambda sec: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=sec)
+    c = spark.createDataFrame([("a", at(1), 1, True, None), ("a", at(2), 2, False, "boom"), ("b", at(1), 3, False, "429 too many"), ("c", at(1), 4, True, None)], "provider string, ts timestamp, seq long, ok boolean, error string")
+    tiers = {"a": 1, "b": 1, "c": 1, "d": 2}
+    assert [r["provider"] for r in t.provider_order(c, tiers).orderBy("rank").collect()] == ["c", "a", "d"]
+    assert [r["provider"] for r in t.provider_order(c, tiers, "d").orderBy("rank").collect()] == ["d", "c", "a"]

@@ -84,3 +84,33 @@ def test_watch(spark, tmp_path):
     s = streamed(spark, tmp_path, [[("1", "/a", at(0), "x")], [("2", "/b", at(1), "y")]], "id string, file_path string, ts timestamp, content string")
     st.watch(s, str(tmp_path / "cp"), lambda b: b.select("file_path", F.lit(1).alias("n")), str(tmp_path / "out")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_counts_forget_idle_keys(spark, tmp_path):
+    schema = "session_id string, tool string, path string, ts timestamp"
+    day = 86_400
+    batches = [[("s", "run", "/a", at(i)) for i in range(3)], [("x", "run", "/a", at(3 * day))], [("x", "run", "/b", at(3 * day + 1))], [("s", "run", "/a", at(3 * day + 2)), ("x", "run", "/a", at(3 * day + 3)), ("x", "run", "/a", at(3 * day + 4))]]
+    got = run(st.step_alerts(streamed(spark, tmp_path, batches, schema)), tmp_path, "update")
+    assert sorted(tuple(r) for r in got) == [("s", "run", "/a", 3), ("x", "run", "/a", 3)]
+
+
+def test_failure_stream_equals_batch(spark, tmp_path):
+    schema = "id long, file_path string, message string, ts timestamp"
+    batches = [[(1, "/a", "boom at /x/1", at(1)), (2, "/a", "boom at /x/2", at(2))], [(3, "/a", "boom at /y", at(3)), (4, "/b", "boom", at(4))]]
+    got = run(st.failure_stream(streamed(spark, tmp_path, batches, schema)), tmp_path, "update")
+    last = {r["signature"]: (r["frequency"], r["last_at"], r["alert"]) for r in sorted(got, key=lambda r: r["frequency"])}
+    everything = st.failure_stream(spark.createDataFrame([r for b in batches for r in b], schema)).collect()
+    assert last == {r["signature"]: (r["frequency"], r["last_at"], r["alert"]) for r in everything}
+
+
+def test_watches_equal_batch(spark, tmp_path):
+    n = spark.createDataFrame([("t", "db_table", "users", "/db/schema.sql", "database"), ("u", "class", "Users", "/svc/u.ts", "backend"), ("p", "component", "Page", "/ui/p.tsx", "frontend")], "id string, kind string, name string, file_path string, layer string")
+    e = spark.createDataFrame([("u", "t", "imports"), ("p", "u", "imports")], "src string, dst string, kind string")
+    schema = "id string, file_path string, old_content string, new_content string"
+    batches = [[("1", "/db/schema.sql", "a", "ALTER TABLE users")], [("2", "/ui/p.tsx", "a", "b")]]
+    s = streamed(spark, tmp_path, batches, schema)
+    st.watch_impact(s, n, e, str(tmp_path / "c1"), str(tmp_path / "o1")).awaitTermination(120)
+    assert [(r["change_id"], r["files"], r["level"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()] == [("1", 2, "HIGH")]
+    st.watch_blast_radius(s, n, e, str(tmp_path / "c2"), str(tmp_path / "o2")).awaitTermination(120)
+    got = sorted((r["plan_id"], r["place"], r["file_path"]) for r in spark.read.parquet(str(tmp_path / "o2")).collect())
+    assert got == [("1", 1, "/svc/u.ts"), ("1", 2, "/ui/p.tsx"), ("2", 1, "/db/schema.sql"), ("2", 2, "/svc/u.ts")]
