@@ -479,6 +479,27 @@ def _(spark, sf):
     return mi.build_graph(f, mi.extract_symbols(f))[0].select("name", "file_path", "kind", "language")
 
 
+# code written from the parts table: two routes and a function in each file
+def _part_code(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit('router.get("/parts/'), k, F.lit('", show)\nrouter.post("/parts/'), k, F.lit('", async (q) => q)\nexport function part'), k, F.lit("(a, b) {\n}\n"))
+    return table(spark, sf, "part").select(F.concat(F.lit("/src/services/p"), k, F.lit(".ts")).alias("path"), code.alias("content"))
+
+
+@_q("x3_part_routes", """SELECT '/src/services/p' || p_partkey || '.ts' AS path, CAST(l AS BIGINT) AS line, CASE l WHEN 1 THEN 'GET' ELSE 'POST' END AS method, '/parts/' || p_partkey AS route, CASE l WHEN 1 THEN 'show' ELSE 'anonymous' END AS handler FROM part, range(1, 3) r(l)""")
+def _(spark, sf):
+    return mi.extract_routes(_part_code(spark, sf))
+
+
+@_q("x7_part_graph", """SELECT '/src/services/p' || p_partkey || '.ts' AS file_path, kind, CASE kind WHEN 'file' THEN 'p' || p_partkey || '.ts' WHEN 'function' THEN 'part' || p_partkey ELSE m || ' /parts/' || p_partkey END AS name, CASE WHEN kind = 'api_endpoint' THEN 'api' ELSE 'backend' END AS layer, kind <> 'file' AS provided
+FROM part, (VALUES ('file', ''), ('function', ''), ('api_endpoint', 'GET'), ('api_endpoint', 'POST')) k(kind, m)""")
+def _(spark, sf):
+    f = _part_code(spark, sf)
+    n, e = mi.build_graph(f, mi.extract_symbols(f), mi.extract_routes(f))
+    to = e.select(F.col("dst").alias("id"), F.lit(True).alias("p"))
+    return n.join(to, "id", "left").select("file_path", "kind", "name", "layer", F.coalesce("p", F.lit(False)).alias("provided"))
+
+
 # sync over the fixture graph: suppliers as tables, parts as endpoints, customers as clients
 def _sync(spark, sf):
     n, e = view(spark, sf, "g_nodes"), view(spark, sf, "g_edges")

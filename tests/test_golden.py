@@ -235,3 +235,11 @@ def test_provider_order(spark):
     tiers = {"a": 1, "b": 1, "c": 1, "d": 2}
     assert [r["provider"] for r in t.provider_order(c, tiers).orderBy("rank").collect()] == ["c", "a", "d"]
     assert [r["provider"] for r in t.provider_order(c, tiers, "d").orderBy("rank").collect()] == ["d", "c", "a"]
+
+
+def test_graphql_unions_and_endpoints(spark):
+    got = rows(mi.extract_graphql(files(spark, a="union Hit {\n  user: User\n}\n")), "kind", "type", "field", "field_type")
+    assert got == [("union", "Hit", "user", "User")]
+    f = spark.createDataFrame([("/ui/a.ts", 'app.get("/x", show)\napp.get("/x", again)\n')], "path string, content string")
+    n, e = mi.build_graph(f, mi.extract_symbols(f), mi.extract_routes(f))
+    assert rows(n.where("kind = 'api_endpoint'"), "name", "layer") == [("GET /x", "api")] and e.count() == 1
