@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ballhash, binslack, chatlog, fuzzylines, gatedlm, latticehash, mixing, suffixrules, urlrules, zipquality
+from graphloom.llm import ballhash, binslack, chatlog, filteraudit, fuzzylines, gatedlm, latticehash, mixing, suffixrules, termsearch, urlrules, weaktoxic, zipquality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,19 @@ def op10_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gatedlm.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return weaktoxic.scored(docs, weaktoxic.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op13_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termsearch.searched(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_zip_quality": op1_zip_quality,
     "op2_bin_slack_packing": op2_bin_slack_packing,
@@ -85,9 +98,14 @@ QUERIES = {
     "op8_lattice_hashing": op8_lattice_hashing,
     "op9_chat_log": op9_chat_log,
     "op10_gated_lm": op10_gated_lm,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_weak_toxicity": op12_weak_toxicity,
+    "op13_term_search": op13_term_search,
 }
 ORACLES: dict[str, str] = {
     "op5_hierarchical_mixing": mixing.oracle(),
     "op7_url_rules": urlrules.ORACLE,
     "op9_chat_log": chatlog.ORACLE,
+    "op11_filter_audit": filteraudit.ORACLE,
+    "op13_term_search": termsearch.ORACLE,
 }
