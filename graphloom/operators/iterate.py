@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import adjacency
+from graphloom.operators.packed import numbered, packed, peeled, spread
+from graphloom.operators.packed import union as _union
 from graphloom.tables import written
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def reach(seeds: DataFrame, edges: DataFrame, direction: str = "out", max_depth: int | None = None, limit: DataFrame | None = None) -> DataFrame:
     """(seed, node, depth): nodes within max_depth hops of each seeds(seed, node), by fewest hops; the start excluded.
 
     limit(seed, max_depth) bounds each seed's own depth. One search may start from several nodes of the same seed.
     """
+    at = packed(seeds, limit)
+    return at.unpacked(spread(at.start, towards(edges, direction), max_depth).where("depth > 0")).select("seed", "node", "depth")
+
+
+def towards(edges: DataFrame, direction: str) -> DataFrame:
+    """Distinct (src, dst), turned round for `in`; written."""
     adj = adjacency(edges)
-    if direction == "in":
-        adj = adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    adj = written(adj)
-    frontier = written(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = [frontier], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        live = frontier if limit is None else frontier.join(limit.where(F.col("max_depth") >= depth).select("seed"), "seed", "left_semi")
-        new = live.join(adj, live["node"] == adj["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        new = new.join(_union(seen).select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen.append(frontier)
-    return _union(seen).where("depth > 0")
+    return written(adj if direction == "out" else adj.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -43,8 +31,9 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     return reach(seeds, edges, "out", depth).select("seed", "node").unionByName(seeds.select("seed", "node")).distinct()
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(src, dst, length, path) for pairs(src, dst): a fewest-hop directed path, null without one.
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, length, path) for pairs(src, dst): a fewest-hop directed path, null without one of at most max_depth hops
+    (of any length, by default).
 
     Of several such paths, every node but the first has the smallest predecessor. Finished pairs leave the search.
     """
@@ -53,7 +42,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 20) -> D
     frontier = written(start.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"), F.lit(0).alias("length")))
     done, seen, depth = [frontier.where("at = dst")], [frontier.select("src", "dst", "at")], 0
     frontier = frontier.where("at <> dst")
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(adj.select(F.col("src").alias("at"), F.col("dst").alias("to")), "at")
         best = step.groupBy("src", "dst", "to").agg(F.min_by("path", "at").alias("path"))
@@ -74,24 +63,15 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, direction: str = "dep
     A level holds the nodes whose dependencies (or importers, for importers_first) all lie in lower levels; nodes on or
     behind cycles come last with a null level. position numbers a group's nodes by level and id.
     """
+    at = packed(nodes.select(F.col("grp").alias("seed"), F.col("id").alias("node")))
+    levels = peeled(at.start, needs_of(edges, direction))
+    return numbered(at.unpacked(levels).select(F.col("seed").alias("grp"), F.col("node").alias("id"), "level"), "grp", [F.asc_nulls_last("level"), F.asc("id")])
+
+
+def needs_of(edges: DataFrame, direction: str) -> DataFrame:
+    """(node, need): what must come before a node; written."""
     a, b = ("src", "dst") if direction == "dependencies_first" else ("dst", "src")
-    adj = adjacency(edges).where("src <> dst").select(F.col(a).alias("id"), F.col(b).alias("needs"))
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    left = written(nodes.select("grp", "id").distinct())
-    waits = left.join(adj, "id").join(left.select("grp", F.col("id").alias("needs")), ["grp", "needs"], "left_semi")
-    own = left.join(loops, "id", "left_semi").select("grp", "id", F.col("id").alias("needs"))
-    waits = written(waits.select("grp", "id", "needs").unionByName(own))
-    done, level = [], 0
-    while True:
-        free = written(left.join(waits.select("grp", "id").distinct(), ["grp", "id"], "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        done.append(free)
-        left = written(left.join(free, ["grp", "id"], "left_anti"))
-        waits = written(waits.join(free.select("grp", F.col("id").alias("needs")), ["grp", "needs"], "left_anti"))
-        level += 1
-    out = _union([*done, left.withColumn("level", F.lit(None).cast("int"))])
-    return out.withColumn("position", F.row_number().over(Window.partitionBy("grp").orderBy(F.asc_nulls_last("level"), "id")))
+    return written(adjacency(edges).select(F.col(a).alias("node"), F.col(b).alias("need")))
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:

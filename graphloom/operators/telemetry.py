@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import scan
+from graphloom.operators.breaker import Breaker
+from graphloom.tables import written
+
 #: Message fragments of provider errors, first match wins; then which codes may be retried or are fatal.
 ERROR_RULES = (
     ("AUTH_ERROR", ("invalid api key", "incorrect api key", "authentication", "unauthorized", "permission denied", "api key")),
@@ -43,12 +47,8 @@ def classify_errors(calls: DataFrame) -> DataFrame:
     return calls.where("not ok").select("seq", code.alias("code")).select("seq", "code", F.col("code").isin(*RETRYABLE).alias("retryable"), F.col("code").isin(*FATAL).alias("fatal"))
 
 
-def _islands(calls: DataFrame, *key: str) -> DataFrame:
-    """consecutive: failures since the last success of the key, 0 on a success."""
-    w = Window.partitionBy(*key).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    c = calls.withColumn("island", F.sum(F.col("ok").cast("long")).over(w))
-    inside = Window.partitionBy(*key, "island").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("consecutive", F.sum((~F.col("ok")).cast("long")).over(inside))
+#: Calls in order of time.
+ORDER = ("ts", "seq")
 
 
 def provider_health(calls: DataFrame) -> DataFrame:
@@ -57,15 +57,16 @@ def provider_health(calls: DataFrame) -> DataFrame:
     A rate limit cools down 15 s, 45 s, then 135 s and breaks the circuit from the third failure; others degrade for
     30 s from the second. A failure that sets no status keeps the one before. weight is 0 while cooling or broken.
     """
-    c = _islands(calls, "provider")
+    key = ("provider",)
+    counts = scan.sums(good=F.col("ok").cast("long"), all=F.lit(1).cast("long"))
+    c = scan.folded(scan.cut(calls, "provider", *ORDER), key, ORDER, scan.runs("ok", "consecutive"), counts)
     limited = _has(F.col("error"), RATE_WORDS)
     n = F.col("consecutive")
     own_cool = F.when(~F.col("ok") & limited, F.lit(15000) * F.pow(F.lit(3.0), F.least(n - 1, F.lit(2)))).when(~F.col("ok") & (n >= 2), 30000.0)
     own_status = F.when(F.col("ok"), "HEALTHY").when(limited & (n >= 3), "CIRCUIT_BROKEN").when(limited | (n >= 2), "DEGRADED")
-    since = Window.partitionBy("provider").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy("provider", "island").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("status", F.coalesce(F.last(own_status, ignorenulls=True).over(inside), F.lit("HEALTHY"))).withColumn("cooldown_ms", own_cool.cast("long"))
-    c = c.withColumn("success_rate", F.avg(F.col("ok").cast("double")).over(since))
+    # a success sets a status, so the last one set is never from before it
+    c = scan.folded(c.withColumn("cooldown_ms", own_cool.cast("long")), key, ORDER, scan.latest(own_status, "status"))
+    c = c.withColumn("status", F.coalesce("status", F.lit("HEALTHY"))).withColumn("success_rate", F.col("good") / F.col("all"))
     blocked = (F.col("status") == "CIRCUIT_BROKEN") | F.col("cooldown_ms").isNotNull()
     weight = F.when(blocked, 0.0).otherwise(F.greatest(F.lit(0.1), F.col("success_rate") - F.col("consecutive") * 0.2))
     return c.select("provider", "seq", "consecutive", "status", "cooldown_ms", F.round("success_rate", 6).alias("success_rate"), F.round(weight, 6).alias("weight"))
@@ -84,18 +85,20 @@ def model_health(calls: DataFrame, start_ms: float = 2000.0) -> DataFrame:
     failure, three at most; a missing model fails for good; other failures degrade for 15 s. score is 100 less 10 for
     each failure and 30 if degraded, and 0 while cooling, failed, or while the provider is blacked out.
     """
-    c = _islands(calls, "provider", "model")
-    p = _islands(calls, "provider").select("seq", F.col("consecutive").alias("provider_failures"))
-    c = c.join(p, "seq")
-    order = F.struct("ts", "seq")
-    # the smoothed average is a sum with weights 0.3 * 0.7^k, k successes later
-    later = F.row_number().over(Window.partitionBy("provider", "model", "ok").orderBy(F.desc("ts"), F.desc("seq"))) - 1
-    weighted = F.when(F.col("ok"), F.col("latency_ms") * 0.3 * F.pow(F.lit(0.7), later))
-    agg = c.withColumn("weighted", weighted).groupBy("provider", "model").agg(
-        F.max_by(F.struct("ok", "error", "consecutive", "provider_failures"), order).alias("l"),
+    key = ("provider", "model")
+    c = scan.folded(scan.cut(calls, "provider", *ORDER), ("provider",), ORDER, scan.runs("ok", "provider_failures"))
+    c = scan.folded(c, key, ORDER, scan.runs("ok", "consecutive"))
+    # the smoothed average is a sum with weights 0.3 * 0.7^k, k successes later: those of the same range, then the others
+    w = Window.partitionBy(*key, scan.PART, "ok").orderBy(F.desc("ts"), F.desc("seq"))
+    c = c.withColumn("weighted", F.when(F.col("ok"), F.col("latency_ms") * 0.3 * F.pow(F.lit(0.7), F.row_number().over(w) - 1)))
+    parts = c.groupBy(*key, scan.PART).agg(
+        F.max(F.struct(*ORDER, "ok", "error", "consecutive", "provider_failures")).alias("l"),
         F.coalesce(F.sum("weighted"), F.lit(0.0)).alias("recent"),
         F.count_if("ok").alias("successes"),
     )
+    later = F.coalesce(F.sum("successes").over(Window.partitionBy(*key).orderBy(F.desc(scan.PART)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("recent", F.col("recent") * F.pow(F.lit(0.7), later))
+    agg = parts.groupBy(*key).agg(F.max("l").alias("l"), F.sum("recent").alias("recent"), F.sum("successes").alias("successes"))
     ewma = F.lit(start_ms) * F.pow(F.lit(0.7), F.col("successes")) + F.col("recent")
     n, limited = F.col("l.consecutive"), _has(F.col("l.error"), ("rate limit", "429"))
     missing = _has(F.col("l.error"), ("model not found", "404"))
@@ -107,32 +110,43 @@ def model_health(calls: DataFrame, start_ms: float = 2000.0) -> DataFrame:
 
 
 def circuit_states(calls: DataFrame, threshold: int = 5, cooldown_ms: int = 60_000, probes: int = 2) -> DataFrame:
-    """(provider, seq, state): the breaker after each call that does not fail for a rate limit, replayed in order.
+    """(provider, seq, state): the breaker after each call that does not fail for a rate limit, in order of time.
 
-    Calls of one provider are folded one by one, since each state depends on the one before.
+    A provider's calls are cut into ranges. Each range is folded for every state that the breaker may enter it with, which
+    gives a map from entry to exit; the maps are applied in order, a row a range; then every range is replayed from its
+    own entry. A null provider is a provider.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, failed, good, since, out = "CLOSED", 0, 0, 0, []
-        for ts, ok in zip(pdf["ms"], pdf["ok"], strict=True):
-            if state == "OPEN" and ts - since >= cooldown_ms:
-                state, good = "HALF_OPEN", 0
-            if ok and state == "HALF_OPEN":
-                good += 1
-                if good >= probes:
-                    state, failed = "CLOSED", 0
-            elif ok:
-                failed = 0
-            else:
-                failed, since = failed + 1, ts
-                if state == "HALF_OPEN" or failed >= threshold:
-                    state = "OPEN"
-            out.append(state)
+    made = Breaker(threshold, cooldown_ms, probes)
+    counted = calls.where(F.col("ok") | ~_has(F.col("error"), RATE_WORDS)).select("provider", "seq", "ok", F.unix_millis("ts").alias("ms"))
+    rows = scan.cut(counted, "provider", "ms", "seq")
+    kinds = f"provider {dict(calls.dtypes)['provider']}, {scan.PART} int"
+
+    def summed(pdf):
+        pdf = pdf.sort_values(["ms", "seq"])
+        limits, exits = made.map_of(pdf["ms"].tolist(), pdf["ok"].tolist())
+        return pdf[["provider", scan.PART]].head(1).assign(limits=[limits], exits=[[v for s in exits for v in s]])
+
+    def composed(pdf):
+        pdf = pdf.sort_values(scan.PART)
+        state, enters = made.START, []
+        for limits, exits in zip(pdf["limits"], pdf["exits"], strict=True):
+            enters.append(list(state))
+            state = made.through(state, list(limits), [tuple(exits[i : i + 3]) for i in range(0, len(exits), 3)])
+        return pdf[["provider", scan.PART]].assign(enters=enters)
+
+    def replayed(pdf):
+        pdf = pdf.sort_values(["ms", "seq"])
+        state, out = tuple(pdf["enters"].iloc[0]), []
+        for ms, ok in zip(pdf["ms"], pdf["ok"], strict=True):
+            state = made.step(state, ms, ok)
+            out.append(made.NAMES[state[0]])
         return pdf[["provider", "seq"]].assign(state=out)
 
-    counted = calls.where(F.col("ok") | ~_has(F.col("error"), RATE_WORDS)).select("provider", "seq", "ok", F.unix_millis("ts").alias("ms"))
-    return counted.groupBy("provider").applyInPandas(lambda pdf: fold(pdf.sort_values(["ms", "seq"])), "provider string, seq long, state string")
+    maps = written(rows.groupBy("provider", scan.PART).applyInPandas(summed, f"{kinds}, limits array<long>, exits array<long>"))
+    entries = written(maps.groupBy("provider").applyInPandas(composed, f"{kinds}, enters array<long>"))
+    same = rows["provider"].eqNullSafe(entries["provider"]) & (rows[scan.PART] == entries[scan.PART])
+    given = rows.join(entries, same).select(rows["provider"], rows[scan.PART], "seq", "ok", "ms", "enters")
+    return given.groupBy("provider", scan.PART).applyInPandas(replayed, f"provider {dict(calls.dtypes)['provider']}, seq long, state string")
 
 
 def session_metrics(steps: DataFrame, price: float = 5e-7) -> DataFrame:
@@ -174,10 +188,11 @@ def usage_report(calls: DataFrame, budgets: dict[str, float]) -> DataFrame:
 
 def admission_audit(calls: DataFrame, budget: float, per_minute: int) -> DataFrame:
     """(seq, refused): too_expensive if earlier calls of the provider cost the budget or more, too_soon within 60000/per_minute ms."""
-    w = Window.partitionBy("provider").orderBy("ts", "seq")
-    spent = F.coalesce(F.round(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), 9), F.lit(0.0))
-    gap = F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w))
-    return calls.select("seq", F.when(spent >= budget, "too_expensive").when(gap < 60000 / per_minute, "too_soon").alias("refused"))
+    key = ("provider",)
+    c = scan.folded(scan.cut(calls, "provider", *ORDER), key, ORDER, scan.sums(total=F.col("cost")), scan.previous("ts", "last"))
+    spent = F.round(F.col("total") - F.coalesce("cost", F.lit(0.0)), 9)
+    gap = F.unix_millis("ts") - F.unix_millis("last")
+    return c.select("seq", F.when(spent >= budget, "too_expensive").when(gap < 60000 / per_minute, "too_soon").alias("refused"))
 
 
 def stagnation(steps: DataFrame, times: int = 3) -> DataFrame:

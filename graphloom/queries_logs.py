@@ -162,7 +162,12 @@ def _(spark, sf):
     return t.diversify(n.select("provider", "model", F.row_number().over(Window.orderBy("provider", F.desc("count"), "model")).alias("rank")))
 
 
-@_q("w5_circuit_states", None)
+@_q("w5_circuit_states", """WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ms, seq) AS n FROM (SELECT provider, seq, ok, epoch_us(ts) // 1000 AS ms FROM calls WHERE ok OR NOT (contains(lower(error), 'rate limit') OR contains(lower(error), '429') OR contains(lower(error), 'too many requests'))) x),
+r AS (SELECT DISTINCT provider, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 'CLOSED' AS state, 0 AS failed, 0 AS good, CAST(0 AS BIGINT) AS since FROM c
+  UNION ALL SELECT provider, n, seq, CASE WHEN NOT ok THEN CASE WHEN h = 'HALF_OPEN' OR failed + 1 >= 5 THEN 'OPEN' ELSE h END WHEN h = 'HALF_OPEN' AND g + 1 >= 2 THEN 'CLOSED' ELSE h END,
+    CASE WHEN NOT ok THEN failed + 1 WHEN h = 'HALF_OPEN' AND g + 1 < 2 THEN failed ELSE 0 END, CASE WHEN ok AND h = 'HALF_OPEN' THEN g + 1 ELSE g END, CASE WHEN ok THEN since ELSE ms END
+  FROM (SELECT c.*, failed, since, CASE WHEN state = 'OPEN' AND ms - since >= 60000 THEN 'HALF_OPEN' ELSE state END AS h, CASE WHEN state = 'OPEN' AND ms - since >= 60000 THEN 0 ELSE good END AS g FROM r JOIN c ON c.provider = r.provider AND c.n = r.n + 1) y)
+SELECT provider, seq, state FROM r WHERE n > 0""", "calls")
 def _(spark, sf):
     return t.circuit_states(view(spark, sf, "calls"))
 
