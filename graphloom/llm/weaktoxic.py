@@ -45,7 +45,7 @@ VOTERS = (*LEXICONS, *MINED, "address", "disguise", "shout", "several", "threat"
 #: The last two vote for clean, all others for toxic.
 FOR_CLEAN = 2
 _LEET = str.maketrans("@$!013457", "asioieast")
-_NO_CAPITALS = dict.fromkeys(range(ord("A"), ord("Z") + 1))
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _LETTERS = (3, 8)  # of a stem
 _PUNCTUATION = re.compile("[¡«»¿‐-‧、。]")
 
@@ -77,6 +77,10 @@ class Lists:
     known: frozenset
     disguised: frozenset
 
+    def reader(self, *more: str) -> Reader:
+        """Finds the mined features, and more."""
+        return Reader([*(f for own in self.mined for f in own), *more])
+
 
 @dataclass(frozen=True)
 class LabelModel:
@@ -130,14 +134,30 @@ def words_of(text: str | None) -> list[str]:
     return _PUNCTUATION.sub(" ", text).encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split()
 
 
-def features_of(distinct: set[str], wanted: frozenset | None = None) -> set[str]:
-    """A text's features, or those of them that are wanted: its words, `stem+` for each beginning of 3 to 8 letters of a
-    longer word, and `stem++` (`stem+++`) for each beginning of two (three) different longer words."""
+def features_of(distinct: set[str]) -> set[str]:
+    """A text's features: its words, `stem+` for each beginning of 3 to 8 letters of a longer word, and `stem++`
+    (`stem+++`) for each beginning of two (three) different longer words."""
     low, high = _LETTERS
-    stems = None if wanted is None else {f.rstrip("+") for f in wanted if f.endswith("+")}
-    longer = Counter(w[:n] for w in distinct for n in range(low, min(len(w) - 1, high) + 1) if stems is None or w[:n] in stems)
-    found = {p + "+" * k for p, n in longer.items() for k in range(1, min(n, 3) + 1)}
-    return distinct | found if wanted is None else (distinct | found) & wanted
+    longer = Counter(w[:n] for w in distinct for n in range(low, min(len(w) - 1, high) + 1))
+    return distinct | {p + "+" * k for p, n in longer.items() for k in range(1, min(n, 3) + 1)}
+
+
+class Reader:
+    """Finds wanted features only: words by sets, stems under their first letters."""
+
+    def __init__(self, wanted: Iterable[str]):
+        self.wanted = frozenset(wanted)
+        self.starts: dict[str, list[str]] = {}
+        for p in {f.rstrip("+") for f in self.wanted if f.endswith("+")}:
+            self.starts.setdefault(p[: _LETTERS[0]], []).append(p)
+
+    def found(self, distinct: set[str]) -> set[str]:
+        longer: dict[str, int] = {}
+        for w in distinct:
+            for p in self.starts.get(w[: _LETTERS[0]], ()):
+                if len(w) > len(p) and w.startswith(p):
+                    longer[p] = longer.get(p, 0) + 1
+        return (distinct & self.wanted) | (self.wanted & {p + "+" * k for p, n in longer.items() for k in range(1, min(n, 3) + 1)})
 
 
 def _disguised(text: str, lists: Lists) -> bool:
@@ -153,11 +173,15 @@ def _disguised(text: str, lists: Lists) -> bool:
 
 def votes_of(text: str | None, lists: Lists) -> int:
     """The voters that vote on a text, as bits in the order of VOTERS."""
-    words, text = words_of(text), text or ""
+    words = words_of(text)
     distinct = set(words)
+    return votes_on(text or "", words, distinct, lists.reader().found(distinct), lists)
+
+
+def votes_on(text: str, words: list[str], distinct: set[str], found: set[str], lists: Lists) -> int:
+    """votes_of a text whose words and mined features are at hand."""
     hits = distinct & lists.known
     votes = [not hits.isdisjoint(own) for own in lists.lists]
-    found = features_of(distinct, frozenset().union(*lists.mined))
     votes += [not found.isdisjoint(own) for own in lists.mined]
     address = bool(hits) and not distinct.isdisjoint(_ADDRESS) and any(w in hits and not _ADDRESS.isdisjoint(words[max(i - 4, 0) : i + 4]) for i, w in enumerate(words))
     shout = any(re.search(r"\b" + re.escape(h.upper()) + r"\b", text) for h in hits)
@@ -165,7 +189,8 @@ def votes_of(text: str | None, lists: Lists) -> int:
     threat = not distinct.isdisjoint(_THREATS) and any(b in _TARGETS for _, b in pairs(_THREATS))
     dismissal = any(set(p) <= distinct for p in _DISMISS) and any(p in _DISMISS for p in pairs({a for a, _ in _DISMISS}))
     votes += [address, _disguised(text, lists), shout, len(hits) > 1, threat, dismissal]
-    capitals = len(text) - len(text.translate(_NO_CAPITALS))
+    raw = text.encode("utf-8", "surrogatepass")
+    capitals = len(raw) - len(raw.translate(None, _CAPITALS))
     votes += [len(words) > 4 and "!" not in text and distinct.isdisjoint(_ADDRESS), len(words) > 29 and 20 * capitals < len(text)]
     return sum(1 << i for i, v in enumerate(votes) if v)
 
@@ -371,8 +396,12 @@ def _patterns(docs: DataFrame, lists: Lists) -> dict[int, int]:
 
     def run(batches):
         found = Counter()
+        reader = lists.reader()
         for batch in batches:
-            found.update(votes_of(t, lists) for t in batch.column(0).to_pylist())
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                distinct = set(words)
+                found[votes_on(text or "", words, distinct, reader.found(distinct), lists)] += 1
         yield {"pattern": list(found), "n": list(found.values())}
 
     rows = in_arrow(docs.select("text"), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
@@ -405,11 +434,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), fol
     place = {f: i + len(VOTERS) for i, f in enumerate(names)}
 
     def judge(batches):
-        wanted = frozenset(place)
+        reader = Reader(place)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             votes = _bits([votes_of(t, lists) for t in texts])
-            found = [sorted(place[f] for f in features_of(set(words_of(t)), wanted)) + np.flatnonzero(v).tolist() for t, v in zip(texts, votes, strict=True)]
+            found = [sorted(place[f] for f in reader.found(set(words_of(t)))) + np.flatnonzero(v).tolist() for t, v in zip(texts, votes, strict=True)]
             yield {"doc_id": batch.column(0), "toxic": batch.column(2), "q": model.posterior(votes), "features": found}
 
     rows = in_arrow(sample, judge, "doc_id long, toxic boolean, q double, features array<int>").orderBy("doc_id", "toxic").collect()  # a bounded sample
@@ -423,10 +452,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), fol
 
 
 def scores(texts: Iterable[str | None], model: Model) -> np.ndarray:
-    texts, known = list(texts), frozenset(model.weights)
-    logit = np.array([model.constant + sum(model.weights[w] for w in sorted(features_of(set(words_of(t)), known))) for t in texts], dtype=float)
-    logit = logit + _bits([votes_of(t, model.lists) for t in texts]) @ model.votes
-    return 1 / (1 + np.exp(-np.clip(model.curve[0] * logit + model.curve[1], -30, 30)))
+    reader, logit, votes = model.lists.reader(*model.weights), [], []
+    for text in texts:
+        words = words_of(text)
+        distinct = set(words)
+        found = reader.found(distinct)
+        logit.append(model.constant + sum(model.weights.get(f, 0.0) for f in sorted(found)))
+        votes.append(votes_on(text or "", words, distinct, found, model.lists))
+    x = np.array(logit, dtype=float) + _bits(votes) @ model.votes
+    return 1 / (1 + np.exp(-np.clip(model.curve[0] * x + model.curve[1], -30, 30)))
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2, least: float = 0.3) -> DataFrame:
