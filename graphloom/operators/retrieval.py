@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import extract_keywords
+from graphloom.operators import vectorindex
 from graphloom.operators.graph import degrees
 from graphloom.tables import written
 
@@ -96,25 +97,29 @@ def non_zero_vectors(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.exists("embedding", lambda x: x != 0))
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below: int = 1000, over: int = 10) -> DataFrame:
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar chunks by cosine, above 0, of queries(query_id, vector).
 
-    Over a corpus of more than exact_below rows, the k * over best by sketch are re-ranked; only ids and sketches are
-    read for that.
+    Exact at every size, through the index of vectorindex, which can be built once for many searches.
     """
-    c = non_zero_vectors(chunks)
-    q = queries.select("query_id", "vector")
-    if c.count() > exact_below:
-        slim = c.select("id", sketch(F.col("embedding")).alias("s"))
-        near = slim.join(q.select("query_id", sketch(F.col("vector")).alias("t")), F.lit(True)).select("query_id", "id", dot(F.col("s"), F.col("t")).alias("d"))
-        near = near.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("d"), "id"))).where(F.col("rn") <= k * over)
-        pairs = near.select("query_id", "id").join(c.select("id", "embedding"), "id").join(q, "query_id")
-    else:
-        pairs = c.select("id", "embedding").join(q, F.lit(True))
-    e, v = F.col("embedding"), F.col("vector")
-    cosine = dot(e, v) / F.nullif(F.sqrt(dot(e, e)) * F.sqrt(dot(v, v)), F.lit(0.0))
-    s = pairs.select("query_id", "id", F.round(cosine, 9).alias("similarity")).where("similarity > 0")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    return vectorindex.nearest(queries, vectorindex.build(chunks), k)
+
+
+def sketch_search(queries: DataFrame, chunks: DataFrame, k: int = 5, over: int = 10, dims: int = 16) -> DataFrame:
+    """(query_id, id, similarity, rank) as vector_search, of the k * over chunks with the highest product of sketches.
+
+    Approximate: it reads only ids and sketches of all chunks, and whole vectors of the candidates. Queries meet chunks in
+    batches of BATCH and BLOCK, every batch with every block, as products of matrices.
+    """
+    v = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    c = vectorindex.usable(chunks, "id", "embedding")
+    slim = c.select("id", sketch(F.col("v"), dims).alias("v"))
+    q = vectorindex.usable(queries, "query_id", "vector")
+    near = vectorindex.largest_products(q.select("query_id", sketch(F.col("v"), dims).alias("v")), slim, k * over, dims)
+    pairs = near.select("query_id", "id").join(chunks.select("id", v("embedding").alias("e")), "id").join(queries.select("query_id", v("vector").alias("t")), "query_id")
+    e, t = F.col("e"), F.col("t")
+    cosine = dot(e, t) / F.nullif(F.sqrt(dot(e, e)) * F.sqrt(dot(t, t)), F.lit(0.0))
+    return vectorindex.best(pairs.select("query_id", "id", F.round(cosine, 9).alias("similarity")).where("similarity > 0"), k)
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -136,9 +141,9 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFra
     return first(hit, "query_id").select("query_id", "id", F.lit(0.5).alias("similarity"), "rank")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, exact_below: int = 1000) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, score, rank): reciprocal ranks, 1 / (60 + rank), over 2k vector and 2k keyword hits."""
-    both = vector_search(queries, chunks, 2 * k, exact_below).unionByName(keyword_search(queries, chunks, 2 * k))
+    both = vector_search(queries, chunks, 2 * k).unionByName(keyword_search(queries, chunks, 2 * k))
     s = both.groupBy("query_id", "id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
@@ -157,8 +162,8 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"))
 
 
-def retrieval_context(queries: DataFrame, chunks: DataFrame, k: int = 5, budget: int = 2000, exact_below: int = 1000) -> DataFrame:
+def retrieval_context(queries: DataFrame, chunks: DataFrame, k: int = 5, budget: int = 2000) -> DataFrame:
     """(query_id, ids, tokens): the best chunks of each query that fit the budget, in order of rank."""
-    r = vector_search(queries, chunks, k, exact_below).join(chunks.select("id", "content"), "id")
+    r = vector_search(queries, chunks, k).join(chunks.select("id", "content"), "id")
     f = within_token_budget(r, budget)
     return f.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"), F.max("tokens").alias("tokens"))

@@ -262,35 +262,38 @@ v5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DE
 @_q("t5_vector_search", _COS.format(k=5) + " SELECT query_id, id, similarity, rank FROM v5", "chunks")
 def _(spark, sf):
     c, q = _vec(spark, sf)
-    return r.vector_search(q, c, 5, exact_below=10**9)
+    return r.vector_search(q, c, 5)
 
 
-@_q("t5_sketch_search", None)
+@_q("t5_sketch_search", """WITH c AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM chunks), k AS (SELECT id, e, list_transform(range(0, 16), lambda i: list_avg(e[i * (len(e) // 16) + 1:(i + 1) * (len(e) // 16)])) AS s FROM c),
+n AS (SELECT q.id AS query_id, c.id, q.e AS v, c.e, round(list_dot_product(q.s, c.s), 9) AS d FROM k q, k c WHERE q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d DESC, c.id) <= 50),
+s AS (SELECT query_id, id, round(list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v))), 9) AS similarity FROM n)
+SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity > 0 QUALIFY rank <= 5""", "chunks")
 def _(spark, sf):
     c, q = _vec(spark, sf)
-    return r.vector_search(q, c, 5, exact_below=0)
+    return r.sketch_search(q, c, 5)
 
 
 _KEY = r"""t AS (SELECT id AS query_id, unnest(list_filter(string_split_regex(lower(content), '\s+'), lambda w: length(w) > 2)[1:5]) AS term FROM chunks WHERE id % 100 = 0),
-k5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT DISTINCT query_id, c.id FROM t JOIN chunks c ON contains(lower(c.content), term)) x QUALIFY rank <= 5)"""
+k5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT DISTINCT query_id, c.id FROM t JOIN chunks c ON contains(lower(c.content), term)) x QUALIFY rank <= {k})"""
 
 
-@_q("t6_keyword_search", f"WITH {_KEY} SELECT query_id, id, CAST(0.5 AS DOUBLE) AS similarity, rank FROM k5", "chunks")
+@_q("t6_keyword_search", f"WITH {_KEY.format(k=5)} SELECT query_id, id, CAST(0.5 AS DOUBLE) AS similarity, rank FROM k5", "chunks")
 def _(spark, sf):
     c, q = _vec(spark, sf)
     return r.keyword_search(q, c, 5)
 
 
-@_q("t7_hybrid_search", _COS.format(k=10) + f", {_KEY}, f AS (SELECT query_id, id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM v5 UNION ALL SELECT query_id, id, rank FROM k5) u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5", "chunks")
+@_q("t7_hybrid_search", _COS.format(k=10) + f", {_KEY.format(k=10)}, f AS (SELECT query_id, id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM v5 UNION ALL SELECT query_id, id, rank FROM k5) u GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5", "chunks")
 def _(spark, sf):
     c, q = _vec(spark, sf)
-    return r.hybrid_search(q, c, 5, exact_below=10**9)
+    return r.hybrid_search(q, c, 5)
 
 
 @_q("j13_retrieval_context", _COS.format(k=5) + ", w AS (SELECT v5.*, sum(CAST(ceil(length(content) / 4) AS BIGINT)) OVER (PARTITION BY query_id ORDER BY rank) AS tokens FROM v5 JOIN c USING (id)) SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids, CAST(max(tokens) AS BIGINT) AS tokens FROM w WHERE tokens <= 2000 GROUP BY query_id", "chunks")
 def _(spark, sf):
     c, q = _vec(spark, sf)
-    return r.retrieval_context(q, c, 5, 2000, exact_below=10**9).select("query_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "tokens")
+    return r.retrieval_context(q, c, 5, 2000).select("query_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "tokens")
 
 
 @_q("w6_token_budget", "SELECT * FROM (SELECT source AS query_id, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, CAST(sum(CAST(ceil(length(text) / 4) AS BIGINT)) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS tokens FROM documents) x WHERE tokens <= 2000")
