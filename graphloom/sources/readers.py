@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.tables import Folder
+
 NODE_KEY, EDGE_KEY = ("name", "file_path", "kind"), ("src", "dst", "kind")
 EXCLUDED = r"/(node_modules|\.git|dist|build|coverage|__pycache__)/"
 
@@ -20,7 +24,7 @@ def _key(names) -> F.Column:
     return F.sha2(F.concat_ws("\x00", *names), 256)
 
 
-def _upsert(current: DataFrame, incoming: DataFrame, key: tuple[str, ...], now: str) -> DataFrame:
+def upserted(current: DataFrame, incoming: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Rows by key: incoming attributes win (the last by updated_at), the first created_at stays."""
     rest = [c for c in incoming.columns if c not in (*key, "id", "created_at", "updated_at")]
     both = current.select(*key, *rest, "created_at", "updated_at", F.lit(0).alias("side")).unionByName(incoming.select(*key, *rest, "created_at", "updated_at", F.lit(1).alias("side")))
@@ -29,11 +33,11 @@ def _upsert(current: DataFrame, incoming: DataFrame, key: tuple[str, ...], now:
 
 
 def upsert_nodes(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    return _upsert(current, incoming, NODE_KEY, "updated_at")
+    return upserted(current, incoming, NODE_KEY)
 
 
 def upsert_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    return _upsert(current, incoming, EDGE_KEY, "updated_at")
+    return upserted(current, incoming, EDGE_KEY)
 
 
 def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +48,25 @@ def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str, label: str) -> None:
-    """Both tables under a label, as partitions."""
+    """Both tables under a label, as partitions; a label written before is replaced. VersionedTable pins versions without a
+    copy."""
     for name, df in (("nodes", nodes), ("edges", edges)):
-        df.withColumn("snapshot", F.lit(label)).write.mode("append").partitionBy("snapshot").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}/snapshot={quote(label, safe='')}")
+
+
+def prune_snapshots(spark: SparkSession, path: str, keep: int = 10) -> list[str]:
+    """Deletes all but the newest `keep` snapshots of write_snapshot() and returns the labels that went."""
+    times: dict[str, int] = {}
+    tables = [Folder(spark, f"{path}/{name}") for name in ("nodes", "edges")]
+    for t in tables:
+        for n, changed in t.times().items():
+            if n.startswith("snapshot="):
+                times[n] = max(changed, times.get(n, 0))
+    gone = sorted(times, key=lambda n: (-times[n], n))[keep:]
+    for t in tables:
+        for n in gone:
+            t.delete(n)
+    return [unquote(n.removeprefix("snapshot=")) for n in gone]
 
 
 def retain_snapshots(manifest: DataFrame, keep: int = 10) -> DataFrame:
