@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from graphloom.operators.codegraph import CodeStore
 from graphloom.operators.history import signed
 from graphloom.operators.impact import classify_changes, impact_reports, propagate
 from graphloom.plans.blast import plan_from_files
@@ -177,14 +178,38 @@ def watch(changes: DataFrame, checkpoint: str, each: Callable[[DataFrame], DataF
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watch_impact(changes: DataFrame, nodes: DataFrame, edges: DataFrame, checkpoint: str, out: str):
-    """Starts writing an impact report for every change(id, file_path, old_content, new_content) that touches anything."""
+def ingest_graph(spark: SparkSession, folder: str, checkpoint: str, store: CodeStore, glob: str = "*", per_batch: int = 200, aliases: DataFrame | None = None, packages: DataFrame | None = None):
+    """Starts building a code graph of a folder's files in a store, per_batch files at a time; resumes from checkpoint. A
+    batch that comes again after a failure changes the store once."""
 
-    def reports(batch: DataFrame) -> DataFrame:
+    def each(files: DataFrame, batch_id: int) -> None:
+        none = files.select("path").where("false")
+        store.update(files.select("path", "content"), none, batch_id, aliases, packages)
+
+    return ingest_stream(spark, folder, checkpoint, each, glob, per_batch)
+
+
+def watch_impact(changes: DataFrame, store: CodeStore, checkpoint: str, out: str, first_batch: int = 0):
+    """Starts writing an impact report for every change(id, file_path, old_content, new_content) that touches anything.
+
+    Every batch first changes the store's graph (an empty new_content deletes the file; of several changes of a file in a
+    batch the one with the largest id counts), so reports see the files as they are after the batch. Nodes and edges that
+    the batch takes away still count as impacted: reports run on the graph before and after together. first_batch: the
+    number of the stream's first batch in the store.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch = written(batch)
+        now = batch.groupBy(F.col("file_path").alias("path")).agg(F.max_by("new_content", "id").alias("content"))
+        left = F.coalesce("content", F.lit("")) == ""
+        before = store.graph(before=first_batch + batch_id)
+        after = store.update(now.where(~left), now.where(left).select("path"), first_batch + batch_id)
+        nodes = written(before.nodes.unionByName(after.nodes).dropDuplicates(["id"]))
+        edges = written(before.edges.unionByName(after.edges).select("src", "dst", "kind", "weight").distinct())
         c = written(classify_changes(batch))
-        return impact_reports(c, written(propagate(c, nodes, edges)), nodes, edges)
+        impact_reports(c, written(propagate(c, nodes, edges)), nodes, edges).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return watch(changes, checkpoint, reports, out)
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch_blast_radius(changes: DataFrame, nodes: DataFrame, edges: DataFrame, checkpoint: str, out: str, top: int = 12):

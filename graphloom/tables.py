@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -36,7 +37,12 @@ class Folder:
         finally:
             stream.close()
 
-    def put(self, name: str, text: str) -> None:
+    def json(self, name: str) -> dict:
+        return json.loads(self.text(name))
+
+    def put(self, name: str, data: dict) -> None:
+        """Writes a JSON file."""
+        text = json.dumps(data)
         fs, p = self._at(name)
         stream = fs.create(p, True)
         try:
@@ -44,10 +50,10 @@ class Folder:
         finally:
             stream.close()
 
-    def put_new(self, name: str, text: str) -> bool:
+    def put_new(self, name: str, data: dict) -> bool:
         """Writes a file whole or not at all; False if it exists."""
         aside = f"aside-{uuid.uuid4().hex}"
-        self.put(aside, text)
+        self.put(aside, data)
         fs, source = self._at(aside)
         target = self._at(name)[1]
         fs.mkdirs(target.getParent())

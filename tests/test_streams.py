@@ -109,8 +109,28 @@ def test_watches_equal_batch(spark, tmp_path):
     schema = "id string, file_path string, old_content string, new_content string"
     batches = [[("1", "/db/schema.sql", "a", "ALTER TABLE users")], [("2", "/ui/p.tsx", "a", "b")]]
     s = streamed(spark, tmp_path, batches, schema)
-    st.watch_impact(s, n, e, str(tmp_path / "c1"), str(tmp_path / "o1")).awaitTermination(120)
-    assert [(r["change_id"], r["files"], r["level"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()] == [("1", 2, "HIGH")]
     st.watch_blast_radius(s, n, e, str(tmp_path / "c2"), str(tmp_path / "o2")).awaitTermination(120)
     got = sorted((r["plan_id"], r["place"], r["file_path"]) for r in spark.read.parquet(str(tmp_path / "o2")).collect())
     assert got == [("1", 1, "/svc/u.ts"), ("1", 2, "/ui/p.tsx"), ("2", 1, "/db/schema.sql"), ("2", 2, "/svc/u.ts")]
+
+
+def test_ingest_and_watch_follow_the_files(spark, tmp_path):
+    from graphloom.operators.codegraph import CodeStore, built
+
+    src = tmp_path / "src"
+    src.mkdir()
+    text = {"m.ts": "export function m() {}\n", "u.ts": "import { m } from './m';\nexport const x = 1;\n", "p.ts": "import { x } from './u';\n"}
+    for n, c in text.items():
+        (src / n).write_text(c)
+    store = CodeStore(spark, f"file://{tmp_path}/store", 4)
+    st.ingest_graph(spark, str(src), str(tmp_path / "c0"), store, "*.ts", 2).awaitTermination(300)
+    got = store.graph()
+    want = built(spark.createDataFrame([(f"{src}/{n}", c) for n, c in text.items()], "path string, content string"))
+    edges = lambda g: sorted(tuple(r) for r in g.edges.select("src", "dst", "kind", "weight").collect())
+    assert edges(got) == edges(want) and len(edges(want)) == 3
+    m, u = f"{src}/m.ts", f"{src}/u.ts"
+    batches = [[("1", m, "a", "export function m2() {}\n")], [("2", u, "a", "export const x = 1;\n")], [("3", m, "a", "export function m() {}\n")]]
+    s = streamed(spark, tmp_path, batches, "id string, file_path string, old_content string, new_content string")
+    st.watch_impact(s, store, str(tmp_path / "c1"), str(tmp_path / "o1"), first_batch=100).awaitTermination(300)
+    # the second change takes the import away, so the third touches nothing
+    assert sorted((r["change_id"], r["files"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()) == [("1", 2), ("2", 1)]
