@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.fixtures import sql, table, view
 from graphloom.functions import text as x
+from graphloom.operators import codegraph as cg
 from graphloom.operators import history as h
 from graphloom.operators import impact as im
 from graphloom.operators import mining as mi
@@ -13,7 +16,8 @@ from graphloom.operators import retrieval as r
 from graphloom.operators import sync as sy
 from graphloom.registry import query
 from graphloom.sources import readers as s
-from graphloom.tables import written
+from graphloom.sources.versioned import VersionedTable
+from graphloom.tables import shared_dir, written
 
 
 def _q(name, body, *views):
@@ -503,6 +507,69 @@ def _(spark, sf):
     return n.join(to, "id", "left").select("file_path", "kind", "name", "layer", F.coalesce("p", F.lit(False)).alias("provided"))
 
 
+# a chain of files over the parts: each imports the next over several lines and calls its function, with bait in comments
+def _part_chain(spark, sf, step=1):
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_partkey") + step).cast("string")
+    code = F.concat(
+        F.lit("// import { bait } from './p0';\nimport {\n  part"), n, F.lit(",\n} from './p"), n, F.lit("';\nexport function part"), k, F.lit("(a: number) {\n  const note = 'bait(1)';\n  return part"), n, F.lit("(a);\n}\nexport class Box"), k,
+        F.lit(" extends Base implements Shape {\n}\n"),
+    )
+    return table(spark, sf, "part").select(F.concat(F.lit("/src/p"), k, F.lit(".ts")).alias("path"), code.alias("content"))
+
+
+_CHAIN_SYMBOLS = """SELECT '/src/p' || p_partkey || '.ts' AS path, sym_kind, replace(replace(name, '#', p_partkey::VARCHAR), '@', (p_partkey + 1)::VARCHAR) AS name, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line
+FROM part, (VALUES ('import', './p@', 2, 4), ('function', 'part#', 5, 8), ('export', 'part#', 5, 5), ('class', 'Box#', 9, 10), ('export', 'Box#', 9, 9), ('extends', 'Base', 9, 10), ('implements', 'Shape', 9, 10)) s(sym_kind, name, line, end_line)"""
+
+
+@_q("x2_script_symbols", _CHAIN_SYMBOLS)
+def _(spark, sf):
+    return mi.extract_symbols(_part_chain(spark, sf)).select("path", "sym_kind", "name", "line", "end_line")
+
+
+def _named_edges(graph):
+    name = lambda c: graph.nodes.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return graph.edges.join(name("src"), "src").join(name("dst"), "dst").select("owner", F.col("src_name").alias("source"), F.col("dst_name").alias("target"), "kind", "weight")
+
+
+_CHAIN_EDGES = """SELECT '/src/p' || k || '.ts' AS owner, 'p' || k || '.ts' AS source, kind_name || k AS target, 'provides' AS kind, CAST(1 AS DOUBLE) AS weight FROM now, (VALUES ('part'), ('Box')) v(kind_name)
+UNION ALL SELECT '/src/p' || k || '.ts', 'p' || k || '.ts', 'p' || n || '.ts', 'imports', 1 FROM now WHERE n IN (SELECT k FROM now)
+UNION ALL SELECT '/src/p' || k || '.ts', 'part' || k, 'part' || n, 'calls', 2 FROM now WHERE n IN (SELECT k FROM now)"""
+
+
+@_q("x10_call_edges", f"WITH now AS (SELECT p_partkey AS k, p_partkey + 1 AS n FROM part) {_CHAIN_EDGES}")
+def _(spark, sf):
+    return _named_edges(cg.built(_part_chain(spark, sf)))
+
+
+@_q("s9_rescan_files", f"WITH now AS (SELECT p_partkey AS k, p_partkey + CASE WHEN p_size > 40 THEN 2 ELSE 1 END AS n FROM part WHERE p_size > 5) {_CHAIN_EDGES}")
+def _(spark, sf):
+    at = table(spark, sf, "part").select(F.concat(F.lit("/src/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), "p_size")
+    changed = _part_chain(spark, sf, 2).join(at.where("p_size > 40"), "path", "left_semi")
+    return _named_edges(cg.rescan_files(cg.built(_part_chain(spark, sf)), changed, at.where("p_size <= 5").select("path")))
+
+
+def _versioned(spark, sf):
+    """A table of the fixture's nodes in two versions, the first one labelled: the second changes all nodes of the api."""
+    n = view(spark, sf, "g_nodes").select("id", "name", "file_path", "kind", "layer", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    t = VersionedTable(spark, f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}", n.schema, s.NODE_KEY, ("file_path",), 16)
+    t.upsert(n, ("batch", 1))
+    t.label("first")
+    t.upsert(n.where("layer = 'api'").withColumn("layer", F.lit("changed")).withColumn("updated_at", F.lit(2)).withColumn("created_at", F.lit(2)), ("batch", 2))
+    return t
+
+
+@_q("s3_versioned_upsert", "SELECT name, file_path, kind, CASE WHEN any_value(layer) = 'api' THEN 'changed' ELSE any_value(layer) END AS layer, 1 AS created_at, CASE WHEN any_value(layer) = 'api' THEN 2 ELSE 1 END AS updated_at FROM g_nodes GROUP BY name, file_path, kind", "g_nodes")
+def _(spark, sf):
+    return _versioned(spark, sf).read().drop("id")
+
+
+@_q("s6_snapshot", "SELECT name, file_path, kind, any_value(layer) AS layer, 1 AS created_at, 1 AS updated_at FROM g_nodes GROUP BY name, file_path, kind", "g_nodes")
+def _(spark, sf):
+    t = _versioned(spark, sf)
+    t.prune(1)
+    return t.read(t.labels()["first"]).drop("id")
+
+
 # sync over the fixture graph: suppliers as tables, parts as endpoints, customers as clients
 def _sync(spark, sf):
     n, e = view(spark, sf, "g_nodes"), view(spark, sf, "g_edges")
