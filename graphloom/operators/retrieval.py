@@ -11,7 +11,7 @@ from graphloom.operators.graph import degrees
 from graphloom.tables import written
 
 #: Weights by profile: name equal, name holds, path holds, signature or comment holds; bonus for each neighbour, at most 3; rows kept.
-PROFILES = {"search": (10, 5, 2, 1, 0.1, 15), "context": (3, 3, 1, 0, 0.2, 15), "plan": (10, 5, 3, 0, 0.0, 5)}
+PROFILES = {"search": (10, 5, 2, 1, 0.1, 15), "context": (3, 3, 1, 0, 0.2, 30), "plan": (10, 5, 3, 0, 0.0, 5)}
 PLAN_KINDS = ("file", "function", "class", "interface")
 
 
@@ -52,18 +52,25 @@ def keyword_rank(queries: DataFrame, nodes: DataFrame, edges: DataFrame, profile
     for c, value in points.items():
         worth = F.when(F.col("place") == c, value).otherwise(worth)
     met = seen.join(holding(q.select("kw"), seen.select("text")), "text").groupBy("kw", "id").agg(F.sum(worth).alias("points")).where("points > 0")
-    met = written(met.join(degrees(nodes, edges).select("id", "degree"), "id"))
+    met = written(met.join(degrees(nodes, edges).select("id", "degree"), "id").join(nodes.select("id", "file_path"), "id"))
     several = written(met.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
         scored = rows.withColumn("score", F.round(F.col("hits") + F.least(F.col("degree") * bonus, F.lit(3.0)), 6))
         at = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= top)
-
-    both = met.join(several, "id", "left_semi").join(q, "kw").groupBy("query_id", "id").agg(F.sum(F.col("points") * F.col("times")).alias("hits"), F.min("degree").alias("degree"))
+        scored = scored.withColumn("rank", F.row_number().over(at))
+        if profile != "context":
+            return scored.where(F.col("rank") <= top)
+        # the first `top` files, too, by their best node
+        opens = F.row_number().over(Window.partitionBy(*keys, "file_path").orderBy(F.desc("score"), "id")) == 1
+        place = F.sum(F.col("opens").cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))
+        scored = scored.withColumn("opens", opens).withColumn("place", place)
+        return scored.where((F.col("rank") <= top) | (F.col("opens") & (F.col("place") <= top)))
+
+    both = met.join(several, "id", "left_semi").join(q, "kw").groupBy("query_id", "id").agg(F.sum(F.col("points") * F.col("times")).alias("hits"), F.min("degree").alias("degree"), F.min("file_path").alias("file_path"))
     one = met.join(several, "id", "left_anti").join(q.select("kw", "times").distinct(), "kw").withColumn("hits", F.col("points") * F.col("times"))
-    one = best(one, "kw", "times").select("kw", "times", "id", "hits", "degree").join(q, ["kw", "times"])
-    return best(both.unionByName(one.select("query_id", "id", "hits", "degree")), "query_id").select("query_id", "id", "score", "rank")
+    one = best(one, "kw", "times").select("kw", "times", "id", "hits", "degree", "file_path").join(q, ["kw", "times"])
+    return best(both.unionByName(one.select("query_id", "id", "hits", "degree", "file_path")), "query_id").select("query_id", "id", "score", "rank")
 
 
 def hub_files(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:

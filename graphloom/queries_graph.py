@@ -253,7 +253,17 @@ def _(spark, sf):
     return blast.plan_from_tasks(_tasks(spark, sf), *_g(spark, sf))
 
 
-@query("j12_graph_context")
+@_q("j12_graph_context", f"""WITH tq AS ({_TASKS}), kw AS (SELECT query_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)) AS kw FROM tq),
+adj AS (SELECT DISTINCT src, dst FROM g_edges), d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM adj UNION ALL SELECT dst FROM adj) y GROUP BY id),
+h AS (SELECT query_id, id, sum(CASE WHEN contains(lower(name), kw) THEN 3 ELSE 0 END + CASE WHEN contains(lower(file_path), kw) THEN 1 ELSE 0 END) AS hits FROM kw, g_nodes GROUP BY ALL),
+s AS (SELECT tq.query_id, n.*, coalesce(degree, 0) AS degree, round(coalesce(hits, 0) + least(coalesce(degree, 0) * CAST(0.2 AS DOUBLE), 3), 6) AS score FROM tq CROSS JOIN g_nodes n LEFT JOIN d ON d.id = n.id LEFT JOIN h ON h.query_id = tq.query_id AND h.id = n.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0),
+f AS (SELECT * FROM (SELECT query_id, file_path, min(rank) AS rank FROM r GROUP BY query_id, file_path) x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 30),
+l AS (SELECT query_id, layer, count(*) AS n, min(rank) AS first FROM r WHERE rank <= 20 GROUP BY ALL),
+c AS (SELECT DISTINCT a.name || ' (' || a.layer || ') depends on ' || b.name || ' (' || b.layer || ')' AS w, src, dst FROM g_edges JOIN g_nodes a ON a.id = src JOIN g_nodes b ON b.id = dst WHERE a.layer <> b.layer ORDER BY src, dst LIMIT 5)
+SELECT query_id, (SELECT string_agg(file_path, ',' ORDER BY rank) FROM f WHERE f.query_id = tq.query_id) AS files,
+ (SELECT string_agg(id || ':' || degree, ',' ORDER BY rank) FROM r WHERE rank <= 10 AND r.query_id = tq.query_id) AS key_nodes, (SELECT string_agg(w, ',' ORDER BY src, dst) FROM c) AS warnings, '' AS cycles,
+ 'Graph: ' || (SELECT count(*) FROM r WHERE r.query_id = tq.query_id) || ' nodes (' || (SELECT string_agg(n || ' ' || layer, ', ' ORDER BY first) FROM l WHERE l.query_id = tq.query_id) || '). 5 x-layer warnings.' AS summary FROM tq""")
 def _(spark, sf):
     found = blast.graph_context(_tasks(spark, sf), *_g(spark, sf))
-    return found.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("files", "key_nodes", "warnings")))
+    return found.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("files", "key_nodes", "warnings", "cycles")), "summary")

@@ -241,3 +241,18 @@ def test_graphql_unions_and_endpoints(spark):
     f = spark.createDataFrame([("/ui/a.ts", 'app.get("/x", show)\napp.get("/x", again)\n')], "path string, content string")
     n, e = mi.build_graph(f, mi.extract_symbols(f), mi.extract_routes(f))
     assert rows(n.where("kind = 'api_endpoint'"), "name", "layer") == [("GET /x", "api")] and e.count() == 1
+
+
+def test_context_with_focus_cycles_and_hubs(spark):
+    from graphloom.plans.blast import graph_context
+
+    n = spark.createDataFrame([("a", "file", "parser", "/x/parse.ts", "backend"), ("b", "file", "lexer", "/x/lex.ts", "backend"), ("c", "file", "page", "/ui/page.tsx", "frontend"), ("d", "file", "loose", "/y/parser.ts", "api"), ("e", "file", "none", "/y/e.ts", "api")], "id string, kind string, name string, file_path string, layer string")
+    e = spark.createDataFrame([("a", "b", "imports"), ("b", "a", "imports"), ("c", "a", "imports")], "src string, dst string, kind string")
+    tasks = spark.createDataFrame([(1, "repair the parser"), (2, "nothing here")], "query_id long, text string")
+    focus = spark.createDataFrame([(1, "/ui/"), (2, "/y/e")], "query_id long, part string")
+    got = {r["query_id"]: r for r in graph_context(tasks, n, e, focus).collect()}
+    # neighbours: a 3, b 2, c 1; task 1 scores c 10.2, a 3.6, d 1, b 0.4; task 2 scores e 10, a 0.6, b 0.4, c 0.2
+    assert got[1]["key_nodes"] == ["c:1", "a:3", "d:0", "b:2"] and got[2]["key_nodes"] == ["e:0", "a:3", "b:2", "c:1"]
+    assert got[1]["files"][:4] == ["/ui/page.tsx", "/x/parse.ts", "/y/parser.ts", "/x/lex.ts"]
+    assert got[1]["warnings"] == ["page (frontend) depends on parser (backend)"] and got[1]["cycles"] == ["Cycle: parser → lexer"]
+    assert got[1]["summary"] == "Graph: 4 nodes (1 frontend, 2 backend, 1 api). 1 x-layer warnings. 1 cycles."
