@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, in_arrow, written
+from graphloom.llm.common import components, in_arrow, set_aside, written
 
 _SEED = 42
 
@@ -121,7 +121,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Of every class of similar texts one row of docs: that with the smallest doc_id, then text hash.
 
     Rows are told apart by doc_id and text, so different texts under one doc_id are judged one by one; of rows that share
-    both one stays, whatever their other columns. Rows with a null doc_id stay and take no other's place. Null, empty and
+    both one stays, whatever their other columns, which may have any names. Rows with a null doc_id stay and take no other's place. Null, empty and
     very long texts count as in classes(). An empty table gives an empty table.
     """
     rows = _named(docs, shingle).where("doc_id is not null").groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n"))
@@ -129,10 +129,11 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     keep = written(rows.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("keep")))
     at = rows.join(keep, "group").select("doc_id", "hash", "n", (F.struct("doc_id", "hash") == F.col("keep")).alias("kept"))
     at = at.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", "kept")
-    names, own = docs.columns, [F.col("doc_id") == F.col("__id"), F.col("__h") == F.col("__hash")]
+    names, docs = docs.columns, set_aside(docs, "doc_id", "text")
+    own = [F.col("doc_id") == F.col("__id"), F.col("__h") == F.col("__hash")]
     left = docs.withColumn("__h", F.xxhash64("text")).join(at.where("not kept"), own, "left_anti")
     again = written(at.where("kept and n > 1").select("__id", "__hash"))
     if not again.isEmpty():
         once = left.join(again, own, "left_semi").dropDuplicates(["doc_id", "__h"])
         left = left.join(again, own, "left_anti").unionByName(once)
-    return left.select(*names)
+    return left.select(*docs.columns).toDF(*names)

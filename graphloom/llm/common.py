@@ -33,6 +33,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with all columns but the used ones under numbered names, so that none clashes with a column an operator adds."""
+    return docs.toDF(*(c if c in used else f"kept_{i}" for i, c in enumerate(docs.columns)))
+
+
 def in_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """mapInPandas under a short name."""
     return df.mapInPandas(fn, schema)

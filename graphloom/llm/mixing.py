@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, written
+from graphloom.llm.common import WORD, set_aside, written
 
 
 @dataclass(frozen=True)
@@ -172,11 +172,16 @@ def selected(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """The rows of docs, all columns, as often as they are taken. Texts stay where they are: only leaves are joined."""
+    """The rows of docs, all columns, as often as they are taken. Texts stay where they are: only leaves are joined.
+
+    Null, empty and very long texts, null ids, languages and sources, repeated rows and an empty table are as in selected().
+    Other columns may have any names.
+    """
+    names, docs = docs.columns, set_aside(docs, "doc_id", "text", "lang", "source")
     leaves = cuts(written(slim_of(docs, mix)), mix)
     marked = docs.withColumns({f"__{n}": c for n, c in leaf_columns(mix).items()})
     taken = _with_cuts(marked, leaves, mix).withColumn("__copies", _copies()).where("__copies > 0")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns).toDF(*names)
 
 
 def oracle(mix: Mix = PRODUCTION, source: str = "documents") -> str:
