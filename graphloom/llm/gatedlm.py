@@ -243,17 +243,25 @@ def scores(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Setting
     return out
 
 
-def trained(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Settings) -> dict:
+def stretches(target: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Targets as (steps, lanes), a lane after the other, and the lanes' lengths; all but the last ones are full."""
+    steps = -(-len(target) // lanes)
+    length = np.minimum(steps, len(target) - steps * np.arange(-(-len(target) // steps)))
+    grid = np.zeros(steps * len(length), np.int32)
+    grid[: len(target)] = target
+    return grid.reshape(len(length), steps).T, length
+
+
+def trained(w: dict, target: np.ndarray, s: Settings) -> dict:
     """Weights after one pass over the documents, by Adagrad on windows of truncated backpropagation.
 
-    Longer documents are trained on in pieces of lane_tokens, so that lanes end together.
+    Documents of any length stand one after another, and lanes are equal stretches of them: the state goes through a whole
+    document and is zero at the next one's start. Only a document over which a lane ends goes on in the next from zero.
     """
     w = {k: v.copy() for k, v in w.items()}
     if not len(target):
         return w
-    size = np.bincount(owner, minlength=docs)
-    piece = np.cumsum((np.arange(len(owner)) - (np.cumsum(size) - size)[owner]) % s.lane_tokens == 0) - 1
-    grid, _, length = _grid(target, piece, int(piece[-1]) + 1, min(s.train_lanes, max(8, len(target) // s.lane_tokens)))
+    grid, length = stretches(target, min(s.train_lanes, max(8, len(target) // s.lane_tokens)))
     n, lanes = s.hidden, grid.shape[1]
     seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
     h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, np.int32)
@@ -332,8 +340,8 @@ def _shard_trainer(now):
         raw = as_bytes(pdf.sort_values(["id", "h"])["text"])
         done = 0
         for a, b in portions(raw):
-            numbers, kinds, owner = tokens_of(raw[a:b])
-            w = trained(w, symbols(numbers, kinds, corpus, s), owner, b - a, s)
+            numbers, kinds, _ = tokens_of(raw[a:b])
+            w = trained(w, symbols(numbers, kinds, corpus, s), s)
             done += len(numbers)
         return pd.DataFrame({"weights": [_flat(w).astype(np.float64)], "n": [done]})
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, no_docs, odd_docs
 
-from graphloom.llm import chatlog, fuzzylines, gatedlm, latticehash, mixing, queries, urlrules, zipquality
+from graphloom.llm import ballhash, chatlog, fuzzylines, gatedlm, latticehash, mixing, queries, urlrules, zipquality
 from graphloom.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -548,12 +548,12 @@ def test_gradients_match_differences(monkeypatch):
     s = gatedlm.Settings(own_classes=3, class_words=2, hidden=4, lanes=2, window=50, train_lanes=1, train_window=50, rate=1e-6)
     c = gatedlm.Corpus(np.array([], np.int64), np.array([], np.int64), np.array([1]), np.array([0]), np.array([5, 4, 3, 2, 1, 1]), 30, 9, np.ones(64, np.int64), np.ones(64, np.int64))
     w = {k: v.astype(np.float64) for k, v in gatedlm.fresh(c, s).items()}
-    target, owner = np.array([1, 2, 3, 9, 4, 5, 1, 0], np.int32), np.zeros(8, int)
+    target = np.array([1, 2, 3, 9, 4, 5, 1, 0], np.int32)
     loss = lambda w: -sum(slow_log_probabilities(w, target.tolist(), s))
     found = []
     clip = np.clip
     monkeypatch.setattr(gatedlm.np, "clip", lambda v, *a: found.append(v) or clip(v, *a))
-    gatedlm.trained({k: v.astype(np.float32) for k, v in w.items()}, target, owner, 1, s)
+    gatedlm.trained({k: v.astype(np.float32) for k, v in w.items()}, target, s)
     by_shape = {v.shape: v for v in found}
     rnd = np.random.default_rng(0)
     for k in ("x", "u", "c", "cb", "w", "wb"):
@@ -580,10 +580,51 @@ def test_network_is_a_distribution_and_learns():
     assert np.allclose(whole, alone, atol=1e-4)
     better = w
     for _ in range(30):
-        better = gatedlm.trained(better, target, owner, 3, s)
+        better = gatedlm.trained(better, target, s)
     assert gatedlm.scores(better, target, owner, 3, s).sum() > whole.sum() + 1
     assert gatedlm.scores(w, np.array([], np.int32), np.array([], int), 0, s).shape == (0,)
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 7, 50])
+def test_lanes_hold_documents_whole_and_in_order(lanes):
+    sizes = [3, 4000, 1, 1, 250, 12]
+    target = np.concatenate([np.r_[np.full(n - 1, k + 1), 0] for k, n in enumerate(sizes)]).astype(np.int32)
+    grid, length = gatedlm.stretches(target, lanes)
+    parts = [grid[:n, k] for k, n in enumerate(length)]
+    assert np.array_equal(np.concatenate(parts), target) and (length > 0).all() and (np.diff(length) <= 0).all()
+    assert sum(p[-1] != 0 for p in parts) <= lanes - 1
+
+
+def test_training_runs_through_a_long_document():
+    """One lane learns a document of 2,400 repeating words in windows of 40 steps."""
+    s = gatedlm.Settings(own_classes=3, class_words=2, hidden=4, lanes=2, window=50, train_lanes=1, train_window=40, rate=0.1)
+    c = gatedlm.Corpus(np.array([], np.int64), np.array([], np.int64), np.array([1]), np.array([0]), np.array([5, 4, 3, 2, 1, 1]), 30, 9, np.ones(64, np.int64), np.ones(64, np.int64))
+    w, target = gatedlm.fresh(c, s), np.array([1, 2, 3, 4] * 600 + [0], np.int32)
+    before = gatedlm.scores(w, target, np.zeros(len(target), int), 1, s)[0]
+    after = gatedlm.scores(gatedlm.trained(w, target, s), target, np.zeros(len(target), int), 1, s)[0]
+    assert after > before * 0.6 and np.isfinite(after)
+
+
 def test_language_model_empty(spark):
     assert gatedlm.scored(no_docs(spark)).count() == 0
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(0, [1e200] * 16), (1, [2e200] * 16), (2, [1e-200] * 16), (3, [5e-324] * 16), (4, [1e200, -1e200] * 8), (5, [1.7e308] * 8 + [1e-300] * 8)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in latticehash.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
+CLASHING = ("__h", "__id", "__hash", "__dh", "__drop", "__domain", "__key", "__epochs", "__last", "__share", "__copies", "__epoch", "kept_1", "tokens")
+
+
+@pytest.mark.parametrize("stage", [ballhash.one_of_each, mixing.mixed, fuzzylines.deduplicated])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    docs = odd_docs(spark).where("length(text) < 60000 or text is null")
+    wide = docs.select("*", *(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias(c) for c in CLASHING))
+    got = stage(wide)
+    assert got.columns[: len(wide.columns)] == wide.columns
+    rows = got.collect()
+    assert all(str("none" if r["doc_id"] is None else r["doc_id"]) == r[c] for r in rows for c in CLASHING)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, rows)) == sorted(map(key, stage(docs).collect()))
