@@ -36,3 +36,9 @@ def _(spark, sf):
 @query("st9_step_alerts", sql("SELECT session_id, tool, path, count(*) AS n FROM steps GROUP BY ALL HAVING count(*) >= 2", "steps"))
 def _(spark, sf):
     return st.step_alerts(view(spark, sf, "steps"), 2)
+
+
+@query("st9_repeat_alerts", sql("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY session_id, tool, path ORDER BY step) AS k, sum(CASE WHEN tool IN ('write_file', 'patch_file') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, path ORDER BY step) AS w FROM steps)
+SELECT session_id, step, tool, path, k AS n, 'stagnation' AS alert FROM c WHERE k % 2 = 0 UNION ALL SELECT session_id, step, tool, path, CAST(w AS BIGINT), 'oscillation' FROM c WHERE w >= 2 AND tool IN ('write_file', 'patch_file')""", "steps"))
+def _(spark, sf):
+    return st.repeat_alerts(view(spark, sf, "steps"), 2, 2)

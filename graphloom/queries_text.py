@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.fixtures import sql, table, view
 from graphloom.functions import text as x
 from graphloom.operators import codegraph as cg
+from graphloom.operators import diffing as df
 from graphloom.operators import history as h
 from graphloom.operators import impact as im
 from graphloom.operators import mining as mi
@@ -245,6 +246,27 @@ def _(spark, sf):
     return x.diff_hunks(_diffs(spark, sf))
 
 
+_UNIFIED = f"""{_DIFF}, s AS (SELECT id, line, CASE WHEN state <> 'added' THEN old_pos END AS o, CASE WHEN state NOT IN ('removed', 'moved') THEN new_pos END AS n, CASE WHEN state IN ('removed', 'moved') THEN 0 WHEN state = 'added' THEN 1 ELSE 2 END AS kind FROM d
+UNION ALL SELECT id, line, NULL, new_pos, 1 FROM d WHERE state = 'moved'),
+t AS (SELECT *, coalesce((SELECT count(*) FROM s k WHERE k.id = s.id AND k.kind = 2 AND CASE WHEN s.o IS NULL THEN k.n < s.n ELSE k.o < s.o END), 0) AS before FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY before, kind, coalesce(o, n)) AS place FROM t),
+c AS (SELECT id, place, CASE WHEN coalesce(place - lag(place) OVER (PARTITION BY id ORDER BY place), 1 << 30) > 6 THEN 1 ELSE 0 END AS new FROM r WHERE kind < 2),
+i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY place ROWS UNBOUNDED PRECEDING) AS hunk FROM c), b AS (SELECT id, hunk, min(place) - 3 AS lo, max(place) + 3 AS hi FROM i GROUP BY id, hunk)
+SELECT r.id, CAST(hunk AS BIGINT) AS hunk, CAST(coalesce(min(o), 0) + 1 AS INTEGER) AS old_start, count(o) AS old_lines, CAST(coalesce(min(n), 0) + 1 AS INTEGER) AS new_start, count(n) AS new_lines,
+md5(string_agg(CASE kind WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE ' ' END || line, chr(10) ORDER BY place)) AS text FROM r JOIN b ON r.id = b.id AND place BETWEEN lo AND hi GROUP BY r.id, hunk"""
+
+
+@_q("d1_unified_hunks", _UNIFIED, "file_pairs")
+def _(spark, sf):
+    return df.unified_hunks(_diffs(spark, sf)).withColumn("text", F.md5("text"))
+
+
+@_q("d1_patience_texts", None)
+def _(spark, sf):
+    p = view(spark, sf, "file_pairs").withColumnRenamed("doc_id", "id")
+    return df.unified_texts(df.unified_hunks(df.patience_diffs(p)), p.select("id", F.concat(F.lit("doc/"), "id").alias("path")))
+
+
 @_q("a16_diff_stats", "SELECT doc_id AS id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: length(l) > 0)) AS BIGINT) AS additions, CAST(len(list_filter(string_split(text, chr(10)), lambda l: length(l) = 0)) + 1 AS BIGINT) AS deletions, CAST(1 AS BIGINT) AS files FROM documents")
 def _(spark, sf):
     d = table(spark, sf, "documents")

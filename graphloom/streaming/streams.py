@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from graphloom.operators.codegraph import CodeStore
 from graphloom.operators.history import signed
 from graphloom.operators.impact import classify_changes, impact_reports, propagate
+from graphloom.operators.telemetry import WRITES, oscillating_files, stagnation
 from graphloom.plans.blast import plan_from_files
 from graphloom.tables import written
 
@@ -222,3 +224,62 @@ def watch_blast_radius(changes: DataFrame, nodes: DataFrame, edges: DataFrame, c
         return p.withColumn("place", F.row_number().over(at)).where(F.col("place") <= top).select("plan_id", "place", "file_path", "layer", "reason")
 
     return watch(changes, checkpoint, plans, out)
+
+
+def repeat_alerts(steps: DataFrame, times: int = 3, writes: int = 4, late: str = "10 minutes", forget: str = "1 day") -> DataFrame:
+    """Batch or stream (append mode): (session_id, step, tool, path, n, alert), a row for each alarm at its step.
+
+    stagnation: the session called the tool on the path for the third, sixth, ... time, as the count starts anew after an
+    alarm. oscillation: it wrote the path for the fourth time or later. On a stream with ts, steps of a batch count in
+    their order, and a session's path without calls for `forget` of event time starts anew. A null path is the empty one.
+    The stream needs the RocksDB state store.
+    """
+    s = steps.select("session_id", "step", "tool", F.coalesce("path", F.lit("")).alias("path"), *(c for c in ("ts",) if steps.isStreaming))
+    if not s.isStreaming:
+        found = stagnation(s, times).withColumn("alert", F.lit("stagnation"))
+        wrote = oscillating_files(s, writes).join(s, ["session_id", "step", "path"]).withColumn("alert", F.lit("oscillation"))
+        return found.unionByName(wrote.select(*found.columns))
+    out = "session_id string, step long, tool string, path string, n long, alert string"
+    grouped = s.withWatermark("ts", late).groupBy("session_id", "path")
+    return grouped.transformWithStateInPandas(_Repeats(times, writes, _millis(forget)), out, "Append", "EventTime")
+
+
+class _Repeats(StatefulProcessor):
+    """Counts of a session's path by tool; a timer forgets them."""
+
+    def __init__(self, times: int, writes: int, keep: int):
+        self.times, self.writes, self.keep = times, writes, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "tool string", "n long")
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(rows)).sort_values("step", kind="stable")
+        millis = b["ts"].astype("datetime64[ms]").astype("int64")
+        last = self.last.get()[0] if self.last.exists() else millis.min()
+        if millis.min() - last >= self.keep:  # rows come before timers that are due in the same batch
+            self.counts.clear()
+        old = {t: self.counts.getValue((t,))[0] if self.counts.containsKey((t,)) else 0 for t in b["tool"].unique()}
+        wrote = sum(self.counts.getValue((t,))[0] for t in WRITES if self.counts.containsKey((t,)))
+        b["n"] = b.groupby("tool").cumcount() + 1 + b["tool"].map(old)
+        write = b["tool"].isin(WRITES)
+        stuck, again = b[b["n"] % self.times == 0].assign(alert="stagnation"), b[write].assign(alert="oscillation")
+        again["n"] = range(wrote + 1, wrote + 1 + len(again))
+        for t, n in b.groupby("tool")["n"].max().items():
+            self.counts.updateValue((t,), (int(n),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        last = int(max(millis.max(), last))
+        self.last.update((last,))
+        self.handle.registerTimer(max(last, timers.getCurrentWatermarkInMs()) + self.keep)
+        yield pd.concat([stuck, again[again["n"] >= self.writes]])[["session_id", "step", "tool", "path", "n", "alert"]]
+
+    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass

@@ -1,6 +1,7 @@
 """Streams against their batch twins."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_ingest_and_watch_follow_the_files(spark, tmp_path):
     st.watch_impact(s, store, str(tmp_path / "c1"), str(tmp_path / "o1"), first_batch=100).awaitTermination(300)
     # the second change takes the import away, so the third touches nothing
     assert sorted((r["change_id"], r["files"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()) == [("1", 2), ("2", 1)]
+
+
+def test_repeat_alerts_equal_batch(spark, tmp_path):
+    rnd = random.Random(4)
+    schema = "session_id string, step long, tool string, path string, ts timestamp"
+    rows = [(f"s{rnd.randrange(2)}", k, rnd.choice(["read", "write_file", "patch_file"]), rnd.choice(["/a", "/b", None]), at(k)) for k in range(120)]
+    batches = [rnd.sample(rows[k : k + 30], 30) for k in range(0, 120, 30)]
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(st.repeat_alerts(streamed(spark, tmp_path, batches, schema)), tmp_path)
+        late = [[("s", 1, "read", "/a", at(0)), ("s", 2, "read", "/a", at(1))], [("t", 1, "read", "/z", at(10**6))], [("s", 3, "read", "/a", at(10**6))], [("s", 4, "read", "/a", at(10**6 + 1)), ("s", 5, "read", "/a", at(10**6 + 2))]]
+        anew = run(st.repeat_alerts(streamed(spark, tmp_path / "late", late, schema)), tmp_path / "late")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    want = st.repeat_alerts(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["alert"] for r in want} == {"stagnation", "oscillation"}
+    # the count of /a was forgotten, so its third call is the one at step 5
+    assert [(r["session_id"], r["step"], r["n"]) for r in anew] == [("s", 5, 3)]
