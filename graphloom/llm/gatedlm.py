@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -393,13 +395,13 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2, s: Settings = Set
         share = np.log10(c.tail_tokens + c.tail_kinds + 1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            raw = as_bytes(batch.column(1).to_pylist())
+            raw = pc.fill_null(batch.column(1).cast(pa.binary()), b"").to_pylist()
             spans = list(portions(raw))
-            for i in range(0, len(spans), 4):  # lanes are fuller over several portions
-                begin, end = spans[i][0], spans[min(i + 4, len(spans)) - 1][1]
-                parts = [tokens_of(raw[a:b]) for a, b in spans[i : i + 4]]
+            for i in range(0, len(spans), 2):  # lanes are fuller over two portions
+                begin, end = spans[i][0], spans[min(i + 2, len(spans)) - 1][1]
+                parts = [tokens_of(raw[a:b]) for a, b in spans[i : i + 2]]
                 numbers, kinds = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                owner = np.concatenate([p[2] + (a - begin) for p, (a, _) in zip(parts, spans[i : i + 4], strict=True)])
+                owner = np.concatenate([p[2] + (a - begin) for p, (a, _) in zip(parts, spans[i : i + 2], strict=True)])
                 docs_here = end - begin
                 total = lambda v, at=slice(None), o=owner, d=docs_here: np.bincount(o[at], weights=v, minlength=d)
                 target = symbols(numbers, kinds, c, s)
