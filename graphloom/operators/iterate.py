@@ -31,6 +31,23 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     return reach(seeds, edges, "out", depth).select("seed", "node").unionByName(seeds.select("seed", "node")).distinct()
 
 
+def path_lengths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, length) for pairs(src, dst): the hops of a shortest directed path, null without one of at most max_depth
+    hops (of any length, by default).
+
+    The search starts from the side with fewer different ends, 64 of them in a row, so that its rows do not grow with
+    the pairs; shortest_paths, which also tells the paths, searches for each pair.
+    """
+    start = written(pairs.select("src", "dst").distinct())
+    ends = start.agg(F.approx_count_distinct("src").alias("src"), F.approx_count_distinct("dst").alias("dst")).first()
+    a, b, way = ("dst", "src", "in") if ends["dst"] <= ends["src"] else ("src", "dst", "out")
+    at = packed(start.select(F.col(a).alias("seed"), F.col(a).alias("node")).distinct())
+    found = spread(at.start, towards(edges, way), max_depth)
+    found = found.join(start.select(F.col(b).alias("node")).distinct(), "node", "left_semi")
+    rows = at.unpacked(found).select(F.col("seed").alias(a), F.col("node").alias(b), F.col("depth").alias("length"))
+    return start.join(rows, ["src", "dst"], "left").select("src", "dst", "length")
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, length, path) for pairs(src, dst): a fewest-hop directed path, null without one of at most max_depth hops
     (of any length, by default).
