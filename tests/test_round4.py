@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import impact as im
 from graphloom.operators import iterate as it
 from graphloom.sources import readers as rd
 
@@ -24,3 +25,28 @@ def test_path_lengths_are_those_of_shortest_paths(spark):
         for most in (None, 3):
             want = it.shortest_paths(pairs, edges, most).select("src", "dst", "length").collect()
             assert sorted(it.path_lengths(pairs, edges, most).collect(), key=str) == sorted(want, key=str)
+
+
+def test_nearest_hands_on_the_smallest_of_the_nearest_starts(spark):
+    """Against a search for each start, on a graph with cycles, ties and a start that another one reaches."""
+    edges = spark.createDataFrame([("a", "d"), ("b", "d"), ("d", "e"), ("c", "e"), ("e", "f"), ("f", "a"), ("a", "b"), ("x", "f")], "src string, dst string")
+    starts = [("g", n) for n in "abc"] + [("h", n) for n in "xb"] + [("i", "z")]
+    seeds = spark.createDataFrame(starts, "seed string, node string")
+    each = it.reach(seeds.selectExpr("node as seed", "node").distinct(), edges, "out").collect()
+    for most in (None, 1, 2):
+        want = {(g, s): (0, s) for g, s in starts}
+        for g, s in starts:
+            for r in each:
+                if r["seed"] == s and (most is None or r["depth"] <= most):
+                    want[g, r["node"]] = min(want.get((g, r["node"]), (99, "")), (r["depth"], s))
+        got = {(r["seed"], r["node"]): (r["depth"], r["origin"]) for r in it.nearest(seeds, edges, "out", most).collect()}
+        assert got == want
+
+
+def test_impacted_tests_of_a_changed_test_file(spark):
+    """A node of a changed test file counts if another changed node finds it, but not for itself."""
+    nodes = spark.createDataFrame([("a", "/a.ts"), ("t", "/t.test.ts"), ("u", "/t.test.ts"), ("v", "/v.test.ts")], "id string, file_path string")
+    edges = spark.createDataFrame([("t", "a", "imports"), ("t", "u", "imports"), ("v", "t", "imports")], "src string, dst string, kind string")
+    changes = spark.createDataFrame([("1", "/a.ts"), ("2", "/t.test.ts"), ("3", "/v.test.ts")], "id string, file_path string")
+    got = {tuple(r) for r in im.impacted_tests(changes, nodes, edges).collect()}
+    assert got == {("1", "/t.test.ts"), ("1", "/v.test.ts"), ("2", "/t.test.ts"), ("2", "/v.test.ts")}
