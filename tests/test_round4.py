@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import impact as im
 from graphloom.operators import iterate as it
+from graphloom.operators import retrieval as rt
 from graphloom.sources import readers as rd
 
 
@@ -50,3 +51,36 @@ def test_impacted_tests_of_a_changed_test_file(spark):
     changes = spark.createDataFrame([("1", "/a.ts"), ("2", "/t.test.ts"), ("3", "/v.test.ts")], "id string, file_path string")
     got = {tuple(r) for r in im.impacted_tests(changes, nodes, edges).collect()}
     assert got == {("1", "/t.test.ts"), ("1", "/v.test.ts"), ("2", "/t.test.ts"), ("2", "/v.test.ts")}
+
+
+def test_holding_finds_words_of_any_length(spark):
+    long = "a" * 40
+    words = [("ab",), ("order 1",), (long,), (long + "b",), ("",), (None,), ("zz",), ("b",)]
+    texts = [("xab",), ("order 12",), (long + "bc",), ("",), (None,), ("order 2",), ("b",)]
+    got = {tuple(r) for r in rt.holding(spark.createDataFrame(words, "kw string"), spark.createDataFrame(texts, "text string")).collect()}
+    assert got == {(w, t) for (w,) in words for (t,) in texts if w is not None and t is not None and w in t}
+
+
+def test_holding_lists_no_text_that_merely_shares_letters(spark):
+    """Numbered names share most of their letters; what meets a word holds it."""
+    texts = spark.range(3000).selectExpr("concat('order ', id) as text")
+    words = spark.range(500).selectExpr("concat('order ', id * 7 + 10000) as kw")
+    found = rt.holding(words, texts)
+    assert found.isEmpty()
+
+
+def test_queries_of_the_same_words_are_ranked_once(spark):
+    nodes = spark.createDataFrame([(f"n{i:03}", "function", f"{w} {v}", f"/f{i % 7}.ts") for i, (w, v) in enumerate([(a, b) for a in ("red", "blue") for b in ("ring", "bolt")] * 20)], "id string, kind string, name string, file_path string")
+    edges = spark.createDataFrame([("n000", "n004"), ("n003", "n007"), ("n001", "n005")], "src string, dst string")
+    queries = spark.createDataFrame([(1, "red ring"), (2, "ring red"), (3, "red red ring"), (4, "blue"), (5, "green")], "query_id int, text string")
+    for profile, top in (("search", 15), ("context", 30)):
+        got = {}
+        for r in sorted(rt.keyword_rank(queries, nodes, edges, profile).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["id"], r["score"], r["rank"]))
+        each = {}
+        for k in (1, 2, 3, 4):
+            rows = rt.keyword_rank(queries.where(f"query_id = {k}"), nodes, edges, profile).collect()
+            each[k] = sorted(((r["id"], r["score"], r["rank"]) for r in rows), key=lambda x: x[2])
+        assert got == each
+        assert [x[1:] for x in got[1]] == [x[1:] for x in got[2]]
+        assert all(len(v) >= top for k, v in got.items() if k != 4 or profile == "search")
