@@ -1,7 +1,10 @@
 """What the third review found, on small tables by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from graphloom.llm import fuzzylines
 from graphloom.operators import impact as im
 from graphloom.operators import iterate as it
 from graphloom.operators import retrieval as rt
@@ -84,3 +87,23 @@ def test_queries_of_the_same_words_are_ranked_once(spark):
         assert got == each
         assert [x[1:] for x in got[1]] == [x[1:] for x in got[2]]
         assert all(len(v) >= top for k, v in got.items() if k != 4 or profile == "search")
+
+
+def long_pair(letters: int, every: int) -> tuple[str, str]:
+    """Two lines that share every second word; in the others each `every`-th letter is another one."""
+    rng = random.Random(7)
+    x, y, n = [], [], 0
+    while n < letters:
+        w = "".join(rng.choices("abcdefghij", k=11))
+        x.append(w)
+        y.append("".join("z" if i % every == 0 else c for i, c in enumerate(w)) if len(x) % 2 else w)
+        n += 12
+    return " ".join(x), " ".join(y)
+
+
+def test_long_lines_are_compared_letter_by_letter(spark):
+    """Edits scattered over a line of more than 8,192 letters: blocks of letters differ, letters are similar."""
+    near, far = long_pair(9_000, 4), long_pair(9_000, 2)
+    texts = spark.createDataFrame([(1, near[0]), (2, near[1]), (3, far[1])], "lh long, line string")
+    got = fuzzylines._similar(spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"), texts, 0.8)
+    assert {tuple(r) for r in got.collect()} == {(2, 1, True), (3, 1, False)}
