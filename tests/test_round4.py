@@ -8,6 +8,7 @@ from graphloom.llm import fuzzylines
 from graphloom.operators import impact as im
 from graphloom.operators import iterate as it
 from graphloom.operators import retrieval as rt
+from graphloom.plans import blast
 from graphloom.sources import readers as rd
 
 
@@ -107,3 +108,23 @@ def test_long_lines_are_compared_letter_by_letter(spark):
     texts = spark.createDataFrame([(1, near[0]), (2, near[1]), (3, far[1])], "lh long, line string")
     got = fuzzylines._similar(spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"), texts, 0.8)
     assert {tuple(r) for r in got.collect()} == {(2, 1, True), (3, 1, False)}
+
+
+def test_plan_warnings_with_equal_first_warnings(spark):
+    """Several pairs of files start with the same words; the first of the plan are still whole."""
+    nodes, edges = [], []
+    for i in range(6):
+        nodes += [(f"a{i}", f"n{i % 2}", f"/a{i % 3}", "api"), (f"b{i}", f"m{i % 4}", f"/b{i % 2}", "database")]
+        edges += [(f"a{i}", f"b{j}", "imports") for j in range(6)]
+    name, path = {n[0]: n[1] for n in nodes}, {n[0]: n[2] for n in nodes}
+    plans = {"p": ["/a0", "/a1", "/a2", "/b0", "/b1"], "q": ["/a1", "/b1"], "r": ["/a0", "/a1"]}
+    for most in (1, 3, 10):
+        want = set()
+        for p, files in plans.items():
+            own = sorted({f"{name[s]} (api) -> {name[t]} (database)" for s, t, _ in edges if path[s] in files and path[t] in files})
+            want |= {(p, w) for w in own[:most]}
+        plan = spark.createDataFrame([(p, f) for p, files in plans.items() for f in files], "plan_id string, file_path string")
+        n = spark.createDataFrame(nodes, "id string, name string, file_path string, layer string")
+        e = spark.createDataFrame(edges, "src string, dst string, kind string")
+        got = [tuple(r) for r in blast.plan_warnings(plan, n, e, most).collect()]
+        assert len(got) == len(want) and set(got) == want
