@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.tables import written
+
 #: Which kind of node stands for its file.
 KIND_PRIORITY = {"class": 10, "component": 9, "interface": 8, "module": 7, "function": 6, "file": 5}
 #: In an exported graph, colours of nodes by layer, of edges by kind, of all others, and sizes by kind.
@@ -142,12 +144,13 @@ def graph_export(nodes: DataFrame, edges: DataFrame, max_nodes: int, layer: str
     """
     chosen = filter_nodes(nodes, kind=kind, layer=layer)
     inner = induced_edges(chosen, edges)
-    top = most_connected(chosen, inner, max_nodes)
+    top = written(most_connected(chosen, inner, max_nodes))
     shown = chosen.join(top.select("id"), "id").select(
         "id", F.col("name").alias("label"), "kind", "layer", mapped(F.col("layer"), LAYER_COLOR, OTHER_COLOR).alias("color"),
         mapped(F.col("kind"), KIND_SIZE, OTHER_SIZE).alias("size"), "file_path",
     )
-    lines = induced_edges(top, inner).select(
+    # both ends of such an edge are chosen ones, so it need not be looked up among the inner edges
+    lines = induced_edges(top, edges).select(
         F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("label"), mapped(F.col("kind"), EDGE_COLOR, OTHER_COLOR).alias("color")
     )
     return shown, lines, graph_stats(nodes, edges)
