@@ -35,3 +35,8 @@ def test_induced_edges_move_once_to_each_end(shuffled, sf):
     assert _moves(g.induced_edges(n, e), "src", "dst") == 2
     raw = e.select("src", "dst", "kind")
     assert raw.count() == raw.distinct().count()
+
+
+def test_dangling_edges_move_once_to_each_end(shuffled, sf):
+    n, e = _graph(shuffled, sf)
+    assert _moves(g.dangling_edges(n.where("kind <> 'class'"), e), "src", "dst") == 2
