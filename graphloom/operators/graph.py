@@ -122,9 +122,13 @@ def search_names(nodes: DataFrame, q: str, limit: int = 50) -> DataFrame:
 def semantic_context(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, dependencies, dependents): sorted names of neighbours of each node of files(file_path)."""
     own = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id")
-    adj, names = adjacency(edges), nodes.select("id", "name")
-    down = own.join(adj, own["id"] == adj["src"]).select(own["id"].alias("o"), "dst").join(names, F.col("dst") == names["id"]).groupBy("o").agg(F.array_sort(F.collect_set("name")).alias("dependencies"))
-    up = own.join(adj, own["id"] == adj["dst"]).select(own["id"].alias("o"), "src").join(names, F.col("src") == names["id"]).groupBy("o").agg(F.array_sort(F.collect_set("name")).alias("dependents"))
+    adj, names, ids = adjacency(edges), nodes.select("id", "name"), own.distinct()
+    below = adj.join(ids, adj["src"] == ids["id"], "left_semi")
+    down = below.join(names, F.col("dst") == names["id"]).groupBy(F.col("src").alias("o")).agg(F.array_sort(F.collect_set("name")).alias("dependencies"))
+    # names come to the edges at their source, so that one move to the target serves the choice and the sets; a semi join
+    # would be made before that with the names
+    above = adj.join(names, F.col("src") == names["id"]).select("dst", "name").join(ids.withColumnRenamed("id", "own"), F.col("dst") == F.col("own"))
+    up = above.groupBy(F.col("dst").alias("o")).agg(F.array_sort(F.collect_set("name")).alias("dependents"))
     none = F.array().cast("array<string>")
     return own.join(down, own["id"] == down["o"], "left").drop("o").join(up, own["id"] == up["o"], "left").select("id", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents"))
 

@@ -40,3 +40,14 @@ def test_induced_edges_move_once_to_each_end(shuffled, sf):
 def test_dangling_edges_move_once_to_each_end(shuffled, sf):
     n, e = _graph(shuffled, sf)
     assert _moves(g.dangling_edges(n.where("kind <> 'class'"), e), "src", "dst") == 2
+
+
+def test_semantic_context_moves_edges_to_their_target_once_a_side(shuffled, sf):
+    """The sets of names above need no further move, those below one by their source."""
+    n, e = _graph(shuffled, sf)
+    rows = g.semantic_context(n.where("layer = 'api'").select("file_path"), n, e)
+    assert _moves(rows, "src", "dst", "o") == 4
+    small = shuffled.createDataFrame([("a", "A", "f"), ("b", "B", "f"), ("c", "C", "h"), ("d", "C", "h")], "id string, name string, file_path string")
+    edges = shuffled.createDataFrame([("a", "c", "x"), ("a", "c", "y"), ("a", "d", "x"), ("a", "z", "x"), ("c", "b", "x"), ("a", "b", "x"), ("z", "b", "x"), ("a", "a", "x")], "src string, dst string, kind string")
+    got = g.semantic_context(small.where("file_path = 'f'").select("file_path"), small, edges).collect()
+    assert sorted(map(tuple, got)) == [("a", ["A", "B", "C"], ["A"]), ("b", [], ["A", "C"])]
