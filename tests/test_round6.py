@@ -6,6 +6,8 @@ import pytest
 
 from graphloom.fixtures import view
 from graphloom.operators import graph as g
+from graphloom.operators import iterate as it
+from graphloom.tables import BUCKETED, drop_written
 
 
 @pytest.fixture
@@ -51,3 +53,15 @@ def test_semantic_context_moves_edges_to_their_target_once_a_side(shuffled, sf):
     edges = shuffled.createDataFrame([("a", "c", "x"), ("a", "c", "y"), ("a", "d", "x"), ("a", "z", "x"), ("c", "b", "x"), ("a", "b", "x"), ("z", "b", "x"), ("a", "a", "x")], "src string, dst string, kind string")
     got = g.semantic_context(small.where("file_path = 'f'").select("file_path"), small, edges).collect()
     assert sorted(map(tuple, got)) == [("a", ["A", "B", "C"], ["A"]), ("b", [], ["A", "C"])]
+
+
+def test_rounds_move_only_what_they_found(shuffled):
+    """The graph of a loop lies by the key that its rounds join on; dropping what is written takes it out of the catalog."""
+    edges = shuffled.createDataFrame([(f"n{i}", f"n{i // 2}", "x") for i in range(1, 40)], "src string, dst string, kind string")
+    for rows, key in ((it.towards(edges, "in"), "src"), (it.needs_of(edges, "dependencies_first"), "need")):
+        front = shuffled.createDataFrame([("n1",), ("n2",)], "at string")
+        met = front.join(rows, front["at"] == rows[key])
+        assert _moves(met, key) == 0 and _moves(met, "at") == 1
+        assert met.count() == 4  # n2 and n3 come before n1, n4 and n5 before n2
+    drop_written(shuffled)
+    assert not [t for t in shuffled.catalog.listTables() if t.name.startswith(BUCKETED)]
