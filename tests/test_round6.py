@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.fixtures import view
 from graphloom.operators import graph as g
 from graphloom.operators import iterate as it
+from graphloom.operators import packed
 from graphloom.tables import BUCKETED, drop_written
 
 
@@ -65,3 +67,30 @@ def test_rounds_move_only_what_they_found(shuffled):
         assert met.count() == 4  # n2 and n3 come before n1, n4 and n5 before n2
     drop_written(shuffled)
     assert not [t for t in shuffled.catalog.listTables() if t.name.startswith(BUCKETED)]
+
+
+def test_rows_of_a_node_move_together(spark, monkeypatch):
+    """Seeds of many blocks that meet at few nodes: the same rows whichever way they move, to crowded nodes too; a run
+    of blocks moves as one row."""
+    import random
+
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(f"s{i}", f"m{rng.randrange(6)}") for i in range(900)] + [(f"m{rng.randrange(6)}", f"z{i % 40}") for i in range(200)] + [("z1", "m1"), ("z2", "s2")], "src string, dst string")
+    seeds = spark.createDataFrame([(f"s{i}", f"s{i}") for i in range(900)], "seed string, node string")
+    limit = seeds.selectExpr("seed", "CAST(substr(seed, 2) AS INT) % 3 AS max_depth")
+    seen = []
+    together = packed._together
+    monkeypatch.setattr(packed, "_together", lambda *a: seen.append(a[3] is not None) or together(*a))
+    found = []
+    for wide, hot, run in ((1 << 40, 10_000, 6), (4, 10_000, 6), (1, 10, 0)):
+        for name, value in (("WIDE", wide), ("HOT", hot), ("RUN", run)):
+            monkeypatch.setattr(packed, name, value)
+        found.append(sorted(map(tuple, it.reach(seeds, edges, "out", 2, limit).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 900
+    assert set(seen) == {True, False}
+    monkeypatch.undo()
+    live = spark.range(640).selectExpr("'m' AS node", "id AS block", "CAST(NULL AS INT) AS most", "1L AS bits")
+    adj = spark.createDataFrame([("m", "x"), ("m", "y")], "src string, dst string")
+    none = live.where("false").selectExpr("node", "block", "most", "bits AS c", "bits AS s")
+    plan = packed._together(live, adj, none, None)
+    assert plan.count() == 1280 and plan.agg(F.max("block"), F.sum("c")).first()[:] == (639, 1280)
