@@ -30,6 +30,10 @@ from graphloom.llm.common import fold_of, in_arrow, in_batches, written
 from graphloom.llm.wordhash import as_bytes, portions, words_of
 
 TAIL = 64
+#: Bytes of text that are cut into words at a time, and bytes that run through the network together.
+PART, GROUP = 1 << 18, 1 << 23
+#: Rows of outputs at a time: arrays of so many stay in the cache, and take a third of the time of large ones.
+ROWS = 1024
 #: The number that stands for a document's end among the words' numbers.
 END = 1
 
@@ -73,6 +77,11 @@ class Corpus:
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, tail classes and owners of the lower-cased words of all texts, each text followed by its end."""
+    parts = [(a, _tokens(texts[a:b])) for a, b in portions(texts, PART)] or [(0, _tokens(texts))]
+    return np.concatenate([p[0] for _, p in parts]), np.concatenate([p[1] for _, p in parts]), np.concatenate([p[2] + a for a, p in parts])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     numbers, owner, starts, ends, joined = words_of([t.lower() for t in texts])
     last = joined[ends - 1]
     kind = (last & 31).astype(np.int16)
@@ -150,36 +159,50 @@ def fresh(c: Corpus, s: Settings) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _stepped(w: dict, symbol: np.ndarray, h: np.ndarray) -> tuple:
-    """One step of all lanes; a lane whose symbol is the end begins a document from a zero state."""
-    n = h.shape[1]
-    h = h * (symbol != 0)[:, None]
-    x, a = w["x"][symbol], h @ w["u"]
-    gates = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-    return new + z * (h - new), h, z, r, new, a[:, 2 * n :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _stepped(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple:
+    """One step of all lanes, which are columns: their inputs, the transposed weights of the state, and their states."""
+    n = len(h)
+    a = u @ h
+    gates = _sigmoid(x[: 2 * n] + a[: 2 * n])
+    z, r = gates[:n], gates[n:]
+    new = r * a[2 * n :]
+    new += x[2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, h, z, r, new, a[2 * n :]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
-def _by_class(classes: np.ndarray, own_classes: int):
-    """Rows of each class of own words."""
+def _by_class(classes: np.ndarray, own_classes: int) -> tuple[np.ndarray, list]:
+    """Rows of own words by class, and each class with its part of them."""
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(own_classes + 1))
-    return [(k, order[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    return order[: bounds[-1]], [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+
+
+def _word_scores(w: dict, states: np.ndarray, parts: list) -> np.ndarray:
+    """Scores of the words of a state's own class; states come by class."""
+    out = np.empty((len(states), w["wb"].shape[1]), np.result_type(states, w["w"]))
+    for k, at in parts:
+        np.matmul(states[at], w["w"][k].T, out=out[at])
+        out[at] += w["wb"][k]
+    return out
 
 
 def _classes(target: np.ndarray, s: Settings) -> np.ndarray:
@@ -189,13 +212,22 @@ def _classes(target: np.ndarray, s: Settings) -> np.ndarray:
 def log_probability(w: dict, states: np.ndarray, target: np.ndarray, s: Settings) -> np.ndarray:
     """Natural log of the class's probability and, for own words, of the word's in it."""
     cls = _classes(target, s)
-    logits = states @ w["c"].T + w["cb"]
-    rows = np.arange(len(target))
-    top = logits.max(axis=1)
-    out = logits[rows, cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    for k, at in _by_class(cls, s.own_classes):
-        scores = _log_softmax(states[at] @ w["w"][k].T + w["wb"][k])
-        out[at] += scores[np.arange(len(at)), target[at] % s.class_words]
+    out, c = np.empty(len(target), np.result_type(states, w["c"])), np.ascontiguousarray(w["c"].T)
+    for a in range(0, len(target), ROWS):
+        at = cls[a : a + ROWS]
+        logits = states[a : a + ROWS] @ c
+        logits += w["cb"]
+        logits -= logits.max(axis=1, keepdims=True)
+        want = logits[np.arange(len(at)), at]
+        np.exp(logits, out=logits)
+        out[a : a + ROWS] = want - np.log(logits.sum(axis=1))
+    own, parts = _by_class(cls, s.own_classes)
+    scores, word = _word_scores(w, states[own], parts), target[own] % s.class_words
+    for a in range(0, len(own), ROWS):
+        x = scores[a : a + ROWS]
+        x -= x.max(axis=1, keepdims=True)
+        want = x[np.arange(len(x)), word[a : a + ROWS]]
+        out[own[a : a + ROWS]] += want - np.log(np.exp(x, out=x).sum(axis=1))
     return out
 
 
@@ -210,17 +242,20 @@ def laid_out(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda x: -sum(int(sizes[d]) for d in x))
 
 
-def _grid(target: np.ndarray, owner: np.ndarray, docs: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets and owners as (steps, lanes), and the lanes' lengths."""
+def _steps(target: np.ndarray, owner: np.ndarray, docs: int, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Targets and owners by step, in it by lane, and where each step begins: a step has the lanes that are not over."""
     size = np.bincount(owner, minlength=docs)
     first = np.cumsum(size) - size
     plan = laid_out(size, lanes)
     length = np.array([size[d].sum() for d in plan], np.int64)
-    grid, who = np.zeros((length.max(), len(plan)), np.int32), np.zeros((length.max(), len(plan)), np.int32)
+    live = np.searchsorted(-length, -np.arange(length[0]))  # lanes come by falling length
+    begin = np.concatenate([[0], np.cumsum(live)])
+    wanted, who = np.empty(len(target), np.int32), np.empty(len(target), np.int32)
     for k, ds in enumerate(plan):
         at = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in ds])
-        grid[: length[k], k], who[: length[k], k] = target[at], owner[at]
-    return grid, who, length
+        to = begin[: len(at)] + k
+        wanted[to], who[to] = target[at], owner[at]
+    return wanted, who, begin
 
 
 def scores(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Settings) -> np.ndarray:
@@ -228,20 +263,21 @@ def scores(w: dict, target: np.ndarray, owner: np.ndarray, docs: int, s: Setting
     out = np.zeros(docs)
     if not len(target):
         return out
-    grid, who, length = _grid(target, owner, docs, s.lanes)
-    h, before = np.zeros((grid.shape[1], s.hidden), np.float32), np.zeros(grid.shape[1], np.int32)
-    for begin in range(0, len(grid), s.window):
-        live = int((length > begin).sum())
-        steps = min(s.window, len(grid) - begin)
-        h, before = h[:live], before[:live]
-        states = np.empty((steps, live, s.hidden), np.float32)
-        for t in range(steps):
-            h = _stepped(w, before, h)[0]
-            states[t] = h
-            before = grid[begin + t, :live]
-        real = begin + np.arange(steps)[:, None] < length[None, :live]
-        want = grid[begin : begin + steps, :live][real]
-        out += np.bincount(who[begin : begin + steps, :live][real], weights=log_probability(w, states[real], want, s), minlength=docs)
+    wanted, who, begin = _steps(target, owner, docs, s.lanes)
+    lanes = int(begin[1])
+    h, before = np.zeros((s.hidden, lanes), np.float32), np.zeros(lanes, np.int32)
+    x, u = np.ascontiguousarray(w["x"].T), np.ascontiguousarray(w["u"].T)
+    for first in range(0, len(begin) - 1, s.window):
+        last = min(first + s.window, len(begin) - 1)
+        states = np.empty((begin[last] - begin[first], s.hidden), np.float32)
+        for t in range(first, last):
+            live = begin[t + 1] - begin[t]
+            read = before[:live]
+            h = _stepped(x[:, read], u, h[:, :live] * (read != 0))[0]  # a lane that has read an end begins a document from a zero state
+            states[begin[t] - begin[first] : begin[t + 1] - begin[first]] = h.T
+            before = wanted[begin[t] : begin[t + 1]]
+        here = slice(begin[first], begin[last])
+        out += np.bincount(who[here], weights=log_probability(w, states, wanted[here], s), minlength=docs)
     return out
 
 
@@ -266,49 +302,61 @@ def trained(w: dict, target: np.ndarray, s: Settings) -> dict:
     grid, length = stretches(target, min(s.train_lanes, max(8, len(target) // s.lane_tokens)))
     n, lanes = s.hidden, grid.shape[1]
     seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
-    h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, np.int32)
+    h, before = np.zeros((n, lanes), np.float32), np.zeros(lanes, np.int32)
     for begin in range(0, len(grid), s.train_window):
         steps, lanes = min(s.train_window, len(grid) - begin), int((length > begin).sum())
-        h, before = h[:lanes], before[:lanes]
+        h, before = h[:, :lanes], before[:lanes]
         real = begin + np.arange(steps)[:, None] < length[None, :lanes]
-        tape, ins = [], []
+        read = np.concatenate([before[None], grid[begin : begin + steps - 1, :lanes]])
+        goes_on = (read != 0).astype(np.float32)  # a lane that has read an end begins a document from a zero state
+        x, u = w["x"].T[:, read], np.ascontiguousarray(w["u"].T)
+        tape = []
         for t in range(steps):
-            ins.append(before)
-            made = _stepped(w, before, h)
-            tape.append(made)
-            h, before = made[0], grid[begin + t, :lanes]
-        states = np.stack([m[0] for m in tape]).reshape(-1, n)
+            tape.append(_stepped(x[:, t], u, h * goes_on[t]))
+            h = tape[-1][0]
+        before = grid[begin + steps - 1, :lanes]
+        states = np.stack([m[0] for m in tape]).transpose(0, 2, 1).reshape(-1, n)
         rows = np.flatnonzero(real.reshape(-1))
         want = grid[begin : begin + steps, :lanes].reshape(-1)[rows]
         used, cls = states[rows], _classes(want, s)
-        d_class = _softmax(used @ w["c"].T + w["cb"])
-        d_class[np.arange(len(rows)), cls] -= 1
-        g = {"c": d_class.T @ used, "cb": d_class.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-        d_used = d_class @ w["c"]
-        for k, at in _by_class(cls, s.own_classes):
-            d_word = _softmax(used[at] @ w["w"][k].T + w["wb"][k])
-            d_word[np.arange(len(at)), want[at] % s.class_words] -= 1
-            g["w"][k], g["wb"][k] = d_word.T @ used[at], d_word.sum(axis=0)
-            d_used[at] += d_word @ w["w"][k]
+        g = {x: np.zeros_like(w[x]) for x in ("c", "cb", "w", "wb")}
+        d_used, c = np.empty_like(used), np.ascontiguousarray(w["c"].T)
+        for a in range(0, len(rows), ROWS):
+            part, at = used[a : a + ROWS], cls[a : a + ROWS]
+            d_class = part @ c
+            d_class += w["cb"]
+            d_class = _softmax(d_class)
+            d_class[np.arange(len(at)), at] -= 1
+            g["c"] += d_class.T @ part
+            g["cb"] += d_class.sum(axis=0)
+            d_used[a : a + ROWS] = d_class @ w["c"]
+        own, parts = _by_class(cls, s.own_classes)
+        part = used[own]
+        d_word, back = _word_scores(w, part, parts), np.empty_like(part)
+        for a in range(0, len(own), ROWS):
+            _softmax(d_word[a : a + ROWS])
+        d_word[np.arange(len(own)), want[own] % s.class_words] -= 1
+        for k, at in parts:
+            g["w"][k], g["wb"][k] = d_word[at].T @ part[at], d_word[at].sum(axis=0)
+            np.matmul(d_word[at], w["w"][k], out=back[at])
+        d_used[own] += back
         d_states = np.zeros((steps * lanes, n), np.float32)
         d_states[rows] = d_used
-        d_states = d_states.reshape(steps, lanes, n)
-        g["u"], d_x = np.zeros_like(w["u"]), np.empty((steps, lanes, 3 * n), np.float32)
-        d_h = np.zeros((lanes, n), np.float32)
+        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, n).transpose(0, 2, 1))
+        g["u"], d_x = np.zeros_like(w["u"]), np.empty((3 * n, steps, lanes), np.float32)
+        d_h, d_a = np.zeros((n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
             _, prev, z, r, new, a = tape[t]
-            d = d_states[t] + d_h
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z, d_r = d * (prev - new) * z * (1 - z), d_new * a * r * (1 - r)
-            d_x[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            g["u"] += prev.T @ d_a
-            d_h = (d * z + d_a @ w["u"].T) * (ins[t] != 0)[:, None]
-        g["x"] = np.zeros_like(w["x"])
-        read = np.concatenate(ins)
-        order = np.argsort(read, kind="stable")
-        heads = np.flatnonzero(np.diff(read[order], prepend=-1))
-        g["x"][read[order[heads]]] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], heads, axis=0)
+            d, away = d_states[t] + d_h, 1 - z
+            d_new = d * away * (1 - new * new)
+            d_a[:n] = d * (prev - new) * z * away
+            d_a[n : 2 * n] = d_new * a * r * (1 - r)
+            d_x[: 2 * n, t], d_x[2 * n :, t] = d_a[: 2 * n], d_new
+            d_a[2 * n :] = d_new * r
+            g["u"] += prev @ d_a.T
+            d_h = (d * z + w["u"] @ d_a) * goes_on[t]
+        read = read.reshape(-1)
+        g["x"] = np.stack([np.bincount(read, weights=d.reshape(-1), minlength=len(w["x"])) for d in d_x], axis=1).astype(np.float32)
         for k, v in g.items():
             v = np.clip(v, -50, 50)
             seen[k] += v * v
@@ -350,24 +398,15 @@ def _shard_trainer(now):
     return run
 
 
-def _summed(batches):
-    """The shards' weights times their tokens, one row a task."""
-    total, n = 0.0, 0
-    for pdf in batches:
-        for flat, k in zip(pdf["weights"], pdf["n"], strict=True):
-            total, n = total + np.asarray(flat) * k, n + k
-    if n:
-        yield pd.DataFrame({"weights": [total], "n": [n]})
-
-
 def network(docs: DataFrame, c: Corpus, s: Settings) -> dict:
     """Trained weights. docs(doc_id, text) are the training part; hashes of id and text deal all of them out."""
     spark, w, kind = docs.sparkSession, fresh(c, s), "weights array<double>, n long"
     for k in range(s.rounds):
         now = spark.sparkContext.broadcast((w, c, s))
         shards = dealt(docs, c.tokens, s).where(F.col("round") == k).groupBy("shard")
-        got = in_batches(shards.applyInPandas(_shard_trainer(now), kind), _summed, kind)
-        mean = got.select("n", F.posexplode("weights").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        # sums are made in the tasks first, so a task passes on one set of weights
+        got = shards.applyInPandas(_shard_trainer(now), kind).select("n", F.posexplode("weights").alias("i", "v"))
+        mean = got.groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
         if len(mean):
             w = _shaped(mean.sort_values("i")["v"].to_numpy(), w)
     return w
@@ -396,31 +435,31 @@ def scored(docs: DataFrame, folds: int = 7, held_out: int = 2, s: Settings = Set
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw = pc.fill_null(batch.column(1).cast(pa.binary()), b"").to_pylist()
-            spans = list(portions(raw))
-            for i in range(0, len(spans), 2):  # lanes are fuller over two portions
-                begin, end = spans[i][0], spans[min(i + 2, len(spans)) - 1][1]
-                parts = [tokens_of(raw[a:b]) for a, b in spans[i : i + 2]]
-                numbers, kinds = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                owner = np.concatenate([p[2] + (a - begin) for p, (a, _) in zip(parts, spans[i : i + 2], strict=True)])
-                docs_here = end - begin
-                total = lambda v, at=slice(None), o=owner, d=docs_here: np.bincount(o[at], weights=v, minlength=d)
-                target = symbols(numbers, kinds, c, s)
-                at = np.minimum(np.searchsorted(c.numbers, numbers), max(len(c.numbers) - 1, 0))
-                often = c.numbers[at] == numbers if len(c.numbers) else np.zeros(len(numbers), bool)
-                log_count = np.zeros(len(numbers))
-                log_count[often] = np.log10(c.counts[at[often]] + 1.0)
-                tail = target >= s.own
-                n = np.bincount(owner, minlength=docs_here)
-                rest = np.flatnonzero(~often)
+            for begin, end in portions(raw, GROUP):  # lanes are fuller the more texts run together
+                docs_here, parts = end - begin, []
+                n, known, base, plain = (np.zeros(docs_here, t) for t in (np.int64, np.int64, float, float))
+                for a, b in portions(raw[begin:end], PART):
+                    numbers, kinds, owner = tokens_of(raw[begin + a : begin + b])
+                    total = lambda v=None, at=slice(None), o=owner, d=b - a: np.bincount(o[at], weights=v, minlength=d)
+                    target = symbols(numbers, kinds, c, s)
+                    at = np.minimum(np.searchsorted(c.numbers, numbers), max(len(c.numbers) - 1, 0))
+                    often = c.numbers[at] == numbers if len(c.numbers) else np.zeros(len(numbers), bool)
+                    log_count = np.zeros(len(numbers))
+                    log_count[often] = np.log10(c.counts[at[often]] + 1.0)
+                    tail = target >= s.own
+                    n[a:b], known[a:b], base[a:b] = total(), total(None, often), total(log_count)
+                    plain[a:b] = total((log_count - share[np.maximum(target - s.own, 0)])[tail], tail)
+                    parts.append((target, (owner + a).astype(np.int32), *np.split(numbers[~often], np.cumsum(total(None, ~often))[:-1])))
+                target, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 yield {
                     "row": row + np.arange(docs_here),
                     "doc_id": batch.column(0).slice(begin, docs_here),
                     "held_out": batch.column(2).slice(begin, docs_here),
                     "n_tokens": n,
-                    "known": np.bincount(owner[often], minlength=docs_here),
-                    "base": total(log_count) - n * np.log10(c.tokens + c.kinds + 1),
-                    "lm": scores(w, target, owner, docs_here, s) / ten + total((log_count - share[np.maximum(target - s.own, 0)])[tail], tail),
-                    "rest": np.split(numbers[rest], np.cumsum(np.bincount(owner[rest], minlength=docs_here))[:-1]),
+                    "known": known,
+                    "base": base - n * np.log10(c.tokens + c.kinds + 1),
+                    "lm": scores(w, target, owner, docs_here, s) / ten + plain,
+                    "rest": [x for p in parts for x in p[2:]],
                 }
                 row += docs_here
 
