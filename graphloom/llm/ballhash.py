@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, in_arrow, set_aside, written
+from graphloom.llm.common import components, dealt, in_arrow, set_aside, written
 
 _SEED = 42
 
@@ -73,7 +73,7 @@ def _open(fps: DataFrame) -> DataFrame:
     own = fps.select("group", F.explode(_half_keys(False)).alias("key"))
     own = own.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     tried = fps.select("fp", "group", F.explode(_half_keys(True)).alias("key"))
-    return tried.join(own, "key").where("low <> `group` or high <> `group`").select("fp").distinct()
+    return tried.join(dealt(own), "key").where("low <> `group` or high <> `group`").select("fp").distinct()
 
 
 def _edges(fps: DataFrame, masks: list[int], near: int) -> DataFrame:
@@ -94,7 +94,7 @@ def linked(fps: DataFrame) -> DataFrame:
     far = [(1 << i | 1 << j) << h for h in (0, 32) for i, j in combinations(range(32), 2)]
     close = written(_edges(likely, near, len(near)).distinct())
     groups = components(close)
-    grouped = written(likely.join(groups, likely["fp"] == groups["id"], "left").select("fp", F.coalesce("component", "fp").alias("group")))
+    grouped = written(likely.join(dealt(groups), likely["fp"] == groups["id"], "left").select("fp", F.coalesce("component", "fp").alias("group")))
     apart = written(_open(grouped))
     return components(close.unionByName(_edges(apart, near + far, len(near))))
 
@@ -103,7 +103,7 @@ def _named(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, hash, fp, group): group is the smallest fingerprint of the class; written."""
     fps = written(fingerprints(docs, shingle))
     links = linked(fps.select("fp").distinct())
-    return written(fps.join(links, fps["fp"] == links["id"], "left").select("doc_id", "hash", "fp", F.coalesce("component", "fp").alias("group")))
+    return written(fps.join(dealt(links), fps["fp"] == links["id"], "left").select("doc_id", "hash", "fp", F.coalesce("component", "fp").alias("group")))
 
 
 def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -114,7 +114,7 @@ def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     named = _named(docs, shingle)
     ids = written(named.groupBy("group").agg(F.min("doc_id").alias("component_id")))
-    return named.join(ids, "group").select("doc_id", "fp", "component_id")
+    return named.join(dealt(ids), "group").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -127,13 +127,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     rows = _named(docs, shingle).where("doc_id is not null").groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n"))
     rows = written(rows)
     keep = written(rows.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("keep")))
-    at = rows.join(keep, "group").select("doc_id", "hash", "n", (F.struct("doc_id", "hash") == F.col("keep")).alias("kept"))
+    at = rows.join(dealt(keep), "group").select("doc_id", "hash", "n", (F.struct("doc_id", "hash") == F.col("keep")).alias("kept"))
     at = at.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", "kept")
     names, docs = docs.columns, set_aside(docs, "doc_id", "text")
     own = [F.col("doc_id") == F.col("__id"), F.col("__h") == F.col("__hash")]
-    left = docs.withColumn("__h", F.xxhash64("text")).join(at.where("not kept"), own, "left_anti")
+    left = docs.withColumn("__h", F.xxhash64("text")).join(dealt(at.where("not kept")), own, "left_anti")
     again = written(at.where("kept and n > 1").select("__id", "__hash"))
     if not again.isEmpty():
-        once = left.join(again, own, "left_semi").dropDuplicates(["doc_id", "__h"])
-        left = left.join(again, own, "left_anti").unionByName(once)
+        once = left.join(dealt(again), own, "left_semi").dropDuplicates(["doc_id", "__h"])
+        left = left.join(dealt(again), own, "left_anti").unionByName(once)
     return left.select(*docs.columns).toDF(*names)

@@ -3,8 +3,10 @@
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from graphloom import queries_text, registry  # noqa: F401
+from graphloom.llm import ballhash, common
 
 
 def test_change_type_of_empty_texts_is_that_of_its_sql(spark, tmp_path):
@@ -17,3 +19,17 @@ def test_change_type_of_empty_texts_is_that_of_its_sql(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     # before: an empty text after one was deleted, and two empty ones were modified
     assert got == Counter(duck.execute(registry.ORACLES["c2_change_type"]).fetchall())
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    for module in (common, ballhash):
+        monkeypatch.setattr(module, "written", lambda df, w=common.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or w(df))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of a text"), F.col("id") % 30).alias("text"))
+    got = ballhash.classes(docs)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == 60 and {r["component_id"] for r in got.collect()} <= set(range(30))
+    kept = ballhash.one_of_each(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    # before: the 66 keys of a fingerprint were sized like the fingerprint, and sent to the driver whole
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
