@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import queries_text, registry  # noqa: F401
 from graphloom.llm import ballhash, common
+from graphloom.operators import impact, iterate, packed
 
 
 def test_change_type_of_empty_texts_is_that_of_its_sql(spark, tmp_path):
@@ -33,3 +34,32 @@ def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
     plans.append(kept._jdf.queryExecution().executedPlan().toString())
     # before: the 66 keys of a fingerprint were sized like the fingerprint, and sent to the driver whole
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def _small_graph(spark):
+    nodes = [(f"n{i}", f"/f{i % 7}.ts", ["api", "frontend", "backend"][i % 3], "class", f"N{i}") for i in range(40)]
+    edges = [(f"n{i}", f"n{j}", "imports") for i in range(40) for j in (i * 3 % 11, (i * 5 + 2) % 40, 1) if i != j]
+    own = [(f"c{i % 7}", f"/f{i % 7}.ts", i == 1, i == 2, i % 3 == 0, i % 3) for i in range(9)]
+    classified = spark.createDataFrame(own, "id string, file_path string, is_type boolean, is_schema boolean, is_api boolean, severity int")
+    return classified, spark.createDataFrame(nodes, "id string, file_path string, layer string, kind string, name string"), spark.createDataFrame(edges, "src string, dst string, kind string")
+
+
+def test_propagation_sorts_no_rows_to_find_its_source(spark, monkeypatch):
+    plans = []
+    for module in (impact, iterate, packed):
+        monkeypatch.setattr(module, "written", lambda df, w=common.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or w(df))
+    found = impact.propagate(*_small_graph(spark))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    # before: rounds and result took minima of names, for which Spark sorts all rows by their keys
+    assert found.count() and not any("SortAggregate" in p for p in plans)
+
+
+def test_propagation_without_source_touches_the_same(spark, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.select("change_id", "id", "depth", "severity", "requires_update").collect()))
+    args = _small_graph(spark)
+    want = rows(impact.propagate(*args))
+    full = sorted(map(tuple, impact.propagate(*args).collect()))
+    assert want and rows(impact.propagate(*args, via=False)) == want
+    for module in (packed, iterate):
+        monkeypatch.setattr(module, "HOT", 2, raising=False)
+    assert sorted(map(tuple, impact.propagate(*args).collect())) == full and rows(impact.propagate(*args, via=False)) == want
