@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import queries_text, registry  # noqa: F401
 from graphloom.llm import ballhash, common
 from graphloom.operators import impact, iterate, packed
+from graphloom.plans import blast
 
 
 def test_change_type_of_empty_texts_is_that_of_its_sql(spark, tmp_path):
@@ -63,3 +64,29 @@ def test_propagation_without_source_touches_the_same(spark, monkeypatch):
     for module in (packed, iterate):
         monkeypatch.setattr(module, "HOT", 2, raising=False)
     assert sorted(map(tuple, impact.propagate(*args).collect())) == full and rows(impact.propagate(*args, via=False)) == want
+
+
+def test_members_of_plans_move_together(spark, monkeypatch):
+    _, nodes, edges = _small_graph(spark)
+    nodes = nodes.select("id").crossJoin(spark.range(70).withColumnRenamed("id", "grp")).where("hash(id, grp) % 3 <> 0").select("grp", "id")
+    rows = lambda: sorted(((r["grp"], r["id"], r["level"], r["position"]) for r in iterate.topological_levels(nodes, edges).collect()), key=str)
+    monkeypatch.setattr(packed, "WIDE", 10**6)
+    want, plans = rows(), []
+    monkeypatch.setattr(packed, "written", lambda df, w=common.written: plans.append(df._jdf.queryExecution().toString()) or w(df))
+    for hot in (10_000, 3):
+        monkeypatch.setattr(packed, "WIDE", 1)
+        monkeypatch.setattr(packed, "HOT", hot)
+        assert rows() == want and {r[2] for r in want} > {None, 0}
+    # before: each round moved a row for each edge and block
+    assert any("inline(sets" in p for p in plans)
+
+
+def test_plans_tell_edges_apart_once(spark, monkeypatch):
+    _, nodes, edges = _small_graph(spark)
+    made = []
+    monkeypatch.setattr(blast, "towards", lambda e, way: made.append(way) or iterate.towards(e, way))
+    plans = spark.createDataFrame([("p", "/f1.ts"), ("q", "/f3.ts")], "plan_id string, root_file string")
+    plan = blast.plan_from_files(plans, nodes, edges)
+    assert made[0] == "out" and plan.where("is_root").count() == 2
+    # before: every step made the edges distinct anew
+    assert len(made) == 3
