@@ -90,3 +90,13 @@ def test_plans_tell_edges_apart_once(spark, monkeypatch):
     assert made[0] == "out" and plan.where("is_root").count() == 2
     # before: every step made the edges distinct anew
     assert len(made) == 3
+
+
+def test_rows_of_many_blocks_move_as_one(spark, monkeypatch):
+    live = spark.range(300).select(F.lit("a").alias("node"), F.col("id").alias("block"), F.lit(None).cast("int").alias("most"), F.lit(5).cast("long").alias("bits"))
+    adj, parts = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string"), []
+    monkeypatch.setattr(packed, "union", lambda p, u=packed.union: parts.extend(p) or u(p))
+    got = packed._together(live, adj, live.select(*packed.KEY, F.lit(0).cast("long").alias("c"), F.col("bits").alias("s")), None)
+    assert got.where("c = 5").count() == 600 and got.where("s = 5").count() == 300
+    # before: a row for every 64 blocks
+    assert parts[0].count() == 2
